@@ -3,19 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bookwarp.llm import components
+from bookwarp.llm import components, fusion, lookalike
 from bookwarp.stage import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and names that look the same in different characters."""
+    titles = table(spark, sf_dir, "books").select(F.lit("books").alias("tbl"), "id", F.col("title").alias("text"))
+    names = table(spark, sf_dir, "authors").select(F.lit("authors").alias("tbl"), "id", F.col("name").alias("text"))
+    return lookalike.same_look_pairs(titles.unionByName(names))
+
+
+def _survivors(spark: SparkSession, sf_dir: str, prior: str) -> DataFrame:
+    names = ("duplicate_groups", "author_duplicate_groups", "books", "books_authors_link", "authors")
+    return fusion.survivors(*[table(spark, sf_dir, t) for t in names], prior)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member that supplies each surviving field, the newest usable value first."""
+    return _survivors(spark, sf_dir, "newest")
+
+
+def p2_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by votes alone: the value of greatest posterior under a uniform prior."""
+    return _survivors(spark, sf_dir, "uniform")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record that a `same` row names, with its group."""
     return components.connected_groups(table(spark, sf_dir, "match_pairs").filter("decision = 'same'"))
 
 
-QUERIES = {"p3_found": p3_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found}
 
 SQL = {
+    "p2_found": r"""
+WITH stand AS (SELECT unnest(['unknown','untitled','n/a','na','none','null','nil','-','--','?','??','???','n.n.','anonymous','anon.','tbd','tba','no title','not known','[unknown]','(unknown)','']) AS s),
+b AS (SELECT * FROM books QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1),
+a AS (SELECT * FROM authors QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1),
+m AS (SELECT DISTINCT group_id, unnest(book_ids) AS id FROM duplicate_groups),
+h AS (SELECT m.group_id, b.* FROM m JOIN b ON b.id = m.id),
+n AS (SELECT m.group_id, unnest([x.name, x.sort]) AS name FROM m JOIN books_authors_link l ON l.book = m.id JOIN authors x ON x.id = l.author UNION SELECT group_id, author_sort FROM h),
+e AS (SELECT DISTINCT group_id, list_sort(regexp_extract_all(lower(strip_accents(name)), '[\p{L}\p{N}]+')) AS sig FROM n),
+bc AS (
+  SELECT group_id, 'title' AS field, id, last_modified AS chg FROM h WHERE title IS NOT NULL AND lower(trim(title)) NOT IN (SELECT s FROM stand)
+    AND NOT EXISTS (SELECT 1 FROM e WHERE e.group_id = h.group_id AND len(e.sig) > 0 AND e.sig = list_sort(regexp_extract_all(lower(strip_accents(h.title)), '[\p{L}\p{N}]+')))
+  UNION ALL SELECT group_id, 'author_sort', id, last_modified FROM h WHERE author_sort IS NOT NULL AND lower(trim(author_sort)) NOT IN (SELECT s FROM stand)
+  UNION ALL SELECT group_id, 'pubdate', id, last_modified FROM h WHERE regexp_full_match(pubdate, '[0-9]{4}-[0-9]{2}-[0-9]{2}( ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\+00:00)?')
+    AND year(TRY_CAST(left(pubdate, 10) AS DATE)) BETWEEN 1450 AND 2026),
+am AS (SELECT DISTINCT group_id, unnest(list_prepend(canonical_author_id, duplicate_author_ids)) AS id FROM author_duplicate_groups),
+ah AS (SELECT am.group_id, a.*, (a.sort IS NOT NULL AND lower(trim(a.sort)) NOT IN (SELECT s FROM stand)) AS s_ok,
+  coalesce(regexp_full_match(lower(trim(a.link)), 'https?://[^\s/?#]+\.[^\s/?#.]+(:[0-9]+)?/\S+'), false) AS l_ok FROM am JOIN a ON a.id = am.id),
+ac AS (SELECT group_id, 'sort' AS field, id, loaded_at AS chg FROM ah WHERE s_ok UNION ALL SELECT group_id, 'link', id, loaded_at FROM ah WHERE l_ok)
+SELECT 'book' AS grp, group_id, field, id AS record_id FROM bc QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY chg DESC) = 1
+UNION ALL SELECT 'author', group_id, field, id FROM ac QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY chg DESC) = 1
+UNION ALL SELECT 'author', group_id, 'canonical_author_id', id FROM ah QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY s_ok::INT + l_ok::INT DESC, loaded_at DESC) = 1""",
     "p3_found": """
 WITH RECURSIVE e AS (
   SELECT kind, id_a AS a, id_b AS b FROM match_pairs WHERE decision = 'same' UNION SELECT kind, id_b, id_a FROM match_pairs WHERE decision = 'same'
