@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookwarp.llm import components, fusion, lookalike
+from bookwarp.llm import components, fusion, leakage, lookalike
 from bookwarp.stage import table
 
 
@@ -36,7 +36,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_groups(table(spark, sf_dir, "match_pairs").filter("decision = 'same'"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a stretch of an item's passage."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p9_found": p9_found}
 
 SQL = {
     "p2_found": r"""
