@@ -2,27 +2,35 @@
 
 The graph is reduced until no edge is left and the removed vertices get their label back afterwards:
 
-1. vertices of degree one are stripped, again and again while that pays; each hands its smallest id to its neighbour;
-2. chains of vertices of degree two are compressed: both ends of every chain are found by list ranking (pointer
-   jumping over directed arcs, so a chain of n vertices takes log2 n rounds) and one edge replaces the chain.
-   A vertex smaller than both its neighbours stays, which breaks rings;
+1. vertices of degree one are stripped, again while that removes half of the edges;
+2. chains of vertices of degree two are compressed: both ends of every chain are found by list ranking (pointer jumping
+   over directed arcs, so a chain of n vertices takes log2 n rounds) and one edge replaces the chain.  Arcs that run in
+   rings never end; where nothing but rings is left, a vertex smaller than both its neighbours stays, which breaks them;
 3. the rest, the core, is solved by hooking every vertex on its smallest neighbour, jumping to the roots and
    contracting, until no edge is left;
-4. labels return to the removed vertices level by level, in the reverse order.
+4. every removed vertex points at a vertex removed later or at a root; jumping along these pointers restores the labels
+   in log2 of the number of steps, and the smallest id of each root is the label.
 
-No step groups a component into one task: all work is equi-joins and aggregations on vertex ids.  The smallest id travels
-with the reduction, so no aggregation over whole components is needed either.
+No step groups a component into one task: all work is equi-joins and aggregations on vertex ids, in which a hub that
+holds a third of all edges is combined before the shuffle or split by the adaptive join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from bookwarp.stage import cut
 
-#: A stripping round goes on while it removes at least this share of the edges; else chains are compressed first.
-STRIP_SHARE = 0.02
+#: Stripping goes on while it removes at least this share of the edges; else chains are compressed.
+STRIP_SHARE = 0.5
+
+
+def _cut(df: DataFrame, **counts: str) -> tuple[DataFrame, dict[str, int]]:
+    """Materialises and counts the rows that fulfil each condition on the way."""
+    seen = Observation()
+    done = cut(df.observe(seen, *[F.count(F.when(F.expr(c), 1)).alias(k) for k, c in counts.items()]))
+    return done, seen.get
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -40,50 +48,63 @@ def _relabel(edges: DataFrame, moved: DataFrame) -> DataFrame:
     """Edges with their ends replaced by ``moved`` (kind, v, parent)."""
     a = moved.select("kind", F.col("v").alias("u"), F.col("parent").alias("_u"))
     b = moved.select("kind", F.col("v").alias("w"), F.col("parent").alias("_w"))
-    out = edges.join(a, ["kind", "u"], "left").join(b, ["kind", "w"], "left")
+    out = edges.join(a.hint("merge"), ["kind", "u"], "left").join(b.hint("merge"), ["kind", "w"], "left")
     return _simple(out.select("kind", F.coalesce("_u", "u").alias("u"), F.coalesce("_w", "w").alias("w")))
 
 
-def _strip(edges: DataFrame) -> DataFrame:
-    """Vertices of degree one with their only neighbour; of an isolated edge only the larger end."""
-    ends = _both(edges).groupBy("kind", "v").agg(F.count("*").alias("n"), F.min("w").alias("parent"))
-    leaves = ends.filter("n = 1").select("kind", "v", "parent")
-    other = leaves.select("kind", F.col("v").alias("parent"), F.col("parent").alias("v"), F.lit(True).alias("mutual"))
-    return leaves.join(other, ["kind", "v", "parent"], "left").filter(F.col("mutual").isNull() | (F.col("v") > F.col("parent"))).select("kind", "v", "parent")
+def _strip(edges: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(removed, left, counts): vertices of degree one with their only neighbour; of an isolated edge only the larger end."""
+    degrees = _both(edges).groupBy("kind", "v").agg(F.count("*").alias("n"))
+    a, b = (degrees.select("kind", F.col("v").alias(x), F.col("n").alias("d" + x)) for x in "uw")
+    known, n = _cut(edges.join(a.hint("merge"), ["kind", "u"]).join(b.hint("merge"), ["kind", "w"]), edges="true", leaves="du = 1 or dw = 1")
+    end = F.when(F.col("dw") == 1, F.struct(F.col("w").alias("v"), F.col("u").alias("parent"))).otherwise(F.struct(F.col("u").alias("v"), F.col("w").alias("parent")))
+    removed = known.filter("du = 1 or dw = 1").select("kind", end.alias("_e")).select("kind", "_e.v", "_e.parent")
+    return removed, known.filter("du > 1 and dw > 1").select("kind", "u", "w"), n
+
 
+def _jump(arcs: DataFrame) -> DataFrame:
+    """Every arc that has a next one takes that one's end and next."""
+    ahead = arcs.select("kind", F.col("v").alias("at"), F.col("side").alias("next_side"), F.col("at").alias("_at"), F.col("next_side").alias("_next"), F.lit(True).alias("_hit"))
+    hit = arcs.join(ahead.hint("merge"), ["kind", "at", "next_side"], "left")
+    return hit.select("kind", "v", "side", F.when(F.col("_hit"), F.col("_at")).otherwise(F.col("at")).alias("at"), F.when(F.col("_hit"), F.col("_next")).alias("next_side"))
 
-def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Chain vertices with one end of their chain, and the edges that replace the chains."""
+
+def _chains(edges: DataFrame, rings: bool) -> tuple[DataFrame, DataFrame, int] | None:
+    """(removed, edges, number of edges): chain vertices with one end of their chain, and what replaces the chains."""
     ends = _both(edges).groupBy("kind", "v").agg(F.count("*").alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi"))
-    inner = cut(ends.filter("n = 2 and not (v < lo and v < hi)").select("kind", "v", "lo", "hi"))
-    if inner.isEmpty():
+    inner, n = _cut(ends.filter("n = 2 and not (v < lo and v < hi)" if rings else "n = 2").select("kind", "v", "lo", "hi"), all="true")
+    if not n["all"]:
+        return None
+    # The arc (v, side) leads from chain vertex v to `at`; its next arc leaves `at` on the side that isn't towards v.
+    towards = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lo").alias("at")), F.struct(F.lit(1).alias("side"), F.col("hi").alias("at"))))
+    arcs = inner.select("kind", "v", towards.alias("_a")).select("kind", "v", "_a.side", "_a.at")
+    sides = inner.select("kind", F.col("v").alias("at"), F.col("lo").alias("_lo"))
+    arcs = arcs.join(sides.hint("merge"), ["kind", "at"], "left").select("kind", "v", "side", "at", F.when(F.col("_lo") == F.col("v"), 1).when(F.col("_lo").isNotNull(), 0).alias("next_side"))
+    before, left = -1, -2
+    while left != 0 and left != before:  # while there are chains, each round ends some arcs; arcs in rings stay
+        before = left
+        arcs, n = _cut(_jump(_jump(arcs)) if before >= 0 else _jump(arcs), left="next_side is not null")
+        left = n["left"]
+    ranked = arcs.filter("next_side is null").groupBy("kind", "v").agg(F.min("at").alias("parent"), F.max("at").alias("other"), F.count("*").alias("n")).filter("n = 2")
+    ranked, n = _cut(ranked.select("kind", "v", "parent", "other"), all="true")
+    if not n["all"]:
         return None
-    # An arc (v, at) looks from chain vertex v towards at; `back` is where it came from, so that at's other side is known.
-    arcs = inner.select("kind", "v", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lo").alias("at")), F.struct(F.lit(1).alias("side"), F.col("hi").alias("at")))).alias("_a"))
-    arcs = arcs.select("kind", "v", "_a.side", "_a.at")
-    # next arc: at chain vertex `at`, the side that doesn't lead back to v
-    sides = inner.select("kind", F.col("v").alias("at"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    arcs = arcs.join(sides, ["kind", "at"], "left").withColumn("next_side", F.when(F.col("_lo").isNull(), None).when(F.col("_lo") == F.col("v"), F.lit(1)).otherwise(F.lit(0)))
-    arcs = cut(arcs.select("kind", "v", "side", "at", "next_side"))
-    while not arcs.filter("next_side is not null").isEmpty():
-        ahead = arcs.select("kind", F.col("v").alias("at"), F.col("side").alias("next_side"), F.col("at").alias("_at"), F.col("next_side").alias("_next"), F.lit(True).alias("_hit"))
-        jumped = arcs.join(ahead, ["kind", "at", "next_side"], "left")
-        arcs = cut(jumped.select("kind", "v", "side", F.when(F.col("_hit"), F.col("_at")).otherwise(F.col("at")).alias("at"), F.when(F.col("_hit"), F.col("_next")).alias("next_side")))
-    both = cut(arcs.groupBy("kind", "v").agg(F.min("at").alias("parent"), F.max("at").alias("other")))
-    kept = edges.join(inner.select("kind", F.col("v").alias("u")), ["kind", "u"], "left_anti").join(inner.select("kind", F.col("v").alias("w")), ["kind", "w"], "left_anti")
-    short = both.select("kind", F.col("parent").alias("u"), F.col("other").alias("w"))
-    return both.select("kind", "v", "parent"), _simple(kept.select("kind", "u", "w").unionByName(short))
+    gone = ranked.select("kind", F.col("v").alias("u"))
+    kept = edges.join(gone.hint("merge"), ["kind", "u"], "left_anti").join(gone.withColumnRenamed("u", "w").hint("merge"), ["kind", "w"], "left_anti")
+    short = ranked.select("kind", F.col("parent").alias("u"), F.col("other").alias("w"))
+    after, n = _cut(_simple(kept.select("kind", "u", "w").unionByName(short)), all="true")
+    return ranked.select("kind", "v", "parent"), after, n["all"]
 
 
 def _hook(edges: DataFrame) -> DataFrame:
-    """Every vertex of the core on the root of its tree of smallest neighbours: (kind, v, parent)."""
-    tree = cut(_both(edges).groupBy("kind", "v").agg(F.min("w").alias("m")).select("kind", "v", F.least("m", "v").alias("parent")))
-    while True:
+    """Every vertex of the core that isn't a root, with the root of its tree of smallest neighbours."""
+    tree = _both(edges).groupBy("kind", "v").agg(F.min("w").alias("m")).select("kind", "v", F.least("m", "v").alias("parent"), F.lit(True).alias("moved"))
+    left = 1
+    while left:
         up = tree.select("kind", F.col("v").alias("parent"), F.col("parent").alias("_up"))
-        step = cut(tree.join(up, ["kind", "parent"], "left").select("kind", "v", F.coalesce("_up", "parent").alias("parent"), (F.coalesce("_up", "parent") != F.col("parent")).alias("moved")))
-        tree = step.select("kind", "v", "parent")
-        if step.filter("moved").isEmpty():
-            return tree.filter("v <> parent")
+        tree, n = _cut(tree.join(up.hint("merge"), ["kind", "parent"]).select("kind", "v", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("moved")), left="moved")
+        left = n["left"]
+    return tree.filter("v <> parent").select("kind", "v", "parent")
 
 
 def connected_groups(pairs: DataFrame, kind: str = "kind", a: str = "id_a", b: str = "id_b") -> DataFrame:
@@ -94,65 +115,40 @@ def connected_groups(pairs: DataFrame, kind: str = "kind", a: str = "id_a", b: s
     kind is a kind of its own.  An empty input gives an empty result.
     """
     named = pairs.select(F.coalesce(F.concat(F.lit("="), F.col(kind)), F.lit("-")).alias("kind"), F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"))
-    named = cut(named.select("kind", F.coalesce(F.least("a", "b"), "a", "b").alias("u"), F.coalesce(F.greatest("a", "b"), "b", "a").alias("w")).filter("u is not null").distinct())
-    vertices = cut(named.select("kind", F.explode(F.array("u", "w")).alias("v")).distinct())
-    edges = named.filter("u <> w")
-    levels: list[DataFrame] = []
-    smallest = vertices.select("kind", "v", F.col("v").alias("least_id"))
-    count = edges.count()
+    named, n = _cut(named.select("kind", F.coalesce(F.least("a", "b"), "a", "b").alias("u"), F.coalesce(F.greatest("a", "b"), "b", "a").alias("w")).filter("u is not null").distinct(), edges="u <> w")
+    edges, count = named.filter("u <> w"), n["edges"]
+    removed: list[DataFrame] = []
     while count:
-        stripped = cut(_strip(edges))
-        if (removed := stripped.count()):
-            gone = stripped.select("kind", "v").withColumn("_gone", F.lit(True))
-            left = edges.join(gone.withColumnRenamed("v", "u"), ["kind", "u"], "left_anti").join(gone.withColumnRenamed("v", "w"), ["kind", "w"], "left_anti")
-            edges = cut(left.select("kind", "u", "w"))
-            levels.append(stripped)
-        if removed and removed >= STRIP_SHARE * count:
-            count = edges.count()
-            # long chains would be stripped vertex by vertex; rank them now instead
-            if count and removed < 0.5 * (count + removed) and (ranked := _chains(edges)):
-                levels.append(ranked[0])
-                edges = cut(ranked[1])
-                count = edges.count()
-            continue
-        if (ranked := _chains(edges)) is not None:
-            levels.append(ranked[0])
-            edges = cut(ranked[1])
-        else:
-            hooked = cut(_hook(edges))
-            levels.append(hooked)
-            edges = cut(_relabel(edges, hooked))
-        count = edges.count()
-    return _restore(vertices, smallest, levels)
-
-
-def _restore(vertices: DataFrame, smallest: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Carries the smallest id up the removed levels to the roots, then the labels back down."""
-    if not levels:
-        return smallest.select(_kind(), F.col("v").alias("record_id"), F.col("least_id").alias("group_id"))
-    lows = []  # per level: (kind, v, parent, low) with the smallest id below v
-    handed: DataFrame | None = None  # (kind, v, low) waiting at vertices that are still there
-    for level in levels:
-        if handed is None:
-            known = level.select("kind", "v", "parent", F.col("v").alias("low"))
-        else:
-            known = level.join(handed, ["kind", "v"], "left").select("kind", "v", "parent", F.least("v", "low").alias("low"))
-        known = cut(known)
-        lows.append(known)
-        up = known.groupBy("kind", F.col("parent").alias("v")).agg(F.min("low").alias("low"))
-        if handed is not None:
-            rest = handed.join(level.select("kind", "v"), ["kind", "v"], "left_anti")
-            up = rest.unionByName(up).groupBy("kind", "v").agg(F.min("low").alias("low"))
-        handed = cut(up)
-    removed = lows[0].select("kind", "v")
-    for known in lows[1:]:
-        removed = removed.unionByName(known.select("kind", "v"))
-    roots = vertices.join(removed, ["kind", "v"], "left_anti").join(handed, ["kind", "v"], "left")
-    labels = cut(roots.select("kind", "v", F.least("v", "low").alias("label")))
-    for known in reversed(lows):
-        parents = labels.select("kind", F.col("v").alias("parent"), "label")
-        labels = cut(labels.unionByName(known.join(parents, ["kind", "parent"]).select("kind", "v", "label")))
-    return labels.select(_kind(), F.col("v").alias("record_id"), F.col("label").alias("group_id"))
+        leaves, edges, n = _strip(edges)
+        if n["leaves"]:
+            removed.append(leaves)
+            count = n["edges"] - n["leaves"]
+            if not count or n["leaves"] >= STRIP_SHARE * n["edges"]:
+                continue
+        reduced = _chains(edges, rings=False) or _chains(edges, rings=True)
+        if reduced is None:
+            hooked = _hook(edges)
+            reduced = hooked, *(lambda e, c: (e, c["all"]))(*_cut(_relabel(edges, hooked), all="true"))
+        removed.append(reduced[0])
+        edges, count = reduced[1:]
+    vertices = named.select("kind", F.explode(F.array("u", "w")).alias("v")).distinct()
+    return _restore(vertices, removed)
+
+
+def _restore(vertices: DataFrame, removed: list[DataFrame]) -> DataFrame:
+    """Labels of all vertices from the pointers of the removed ones."""
+    if not removed:
+        return vertices.select(_kind(), F.col("v").alias("record_id"), F.col("v").alias("group_id"))
+    pointers = removed[0]
+    for more in removed[1:]:
+        pointers = pointers.unionByName(more)
+    pointers = cut(pointers)
+    for _ in range((len(removed) - 1).bit_length()):
+        up = pointers.select("kind", F.col("v").alias("parent"), F.col("parent").alias("_up"))
+        pointers = cut(pointers.join(up.hint("merge"), ["kind", "parent"], "left").select("kind", "v", F.coalesce("_up", "parent").alias("parent")))
+    rooted = vertices.join(pointers.hint("merge"), ["kind", "v"], "left").select("kind", "v", F.coalesce("parent", "v").alias("root"))
+    least = rooted.groupBy("kind", "root").agg(F.min("v").alias("label"))
+    return rooted.join(least.hint("merge"), ["kind", "root"]).select(_kind(), F.col("v").alias("record_id"), F.col("label").alias("group_id"))
 
 
 def _kind() -> F.Column:
