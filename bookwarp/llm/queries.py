@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookwarp.llm import components, fusion, leakage, lookalike, packing, subjects
+from bookwarp.llm import components, fusion, leakage, lookalike, names, packing, subjects
 from bookwarp.stage import table
 
 
@@ -41,6 +41,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two ids of one person or organisation."""
+    return names.linked_authors(table(spark, sf_dir, "authors"), table(spark, sf_dir, "author_duplicate_groups"))
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document or piece for each capacity."""
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_targets"))
@@ -56,7 +61,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assign(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "document_subjects"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p5_found": p5_found, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 
 SQL = {
     "p2_found": r"""
