@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookwarp.llm import components, fusion, leakage, lookalike, names, packing, subjects
+from bookwarp.llm import components, fusion, leakage, lookalike, matching, names, packing, subjects
 from bookwarp.stage import table
 
 
@@ -41,6 +41,21 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("metadata_candidates", "books", "books_authors_link", "authors", "identifiers")
+    return matching.matches(*[table(spark, sf_dir, t) for t in names])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books that each candidate describes."""
+    return _matched(spark, sf_dir).select("candidate_id", "book_id")
+
+
+def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the calibrated confidence of each match."""
+    return _matched(spark, sf_dir)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two ids of one person or organisation."""
     return names.linked_authors(table(spark, sf_dir, "authors"), table(spark, sf_dir, "author_duplicate_groups"))
@@ -61,7 +76,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assign(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "document_subjects"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p5_found": p5_found, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 
 SQL = {
     "p2_found": r"""
