@@ -60,6 +60,8 @@ def nickname_rules() -> list[tuple[str, str]]:
 
 def folded_name(name: str) -> str:
     """Lower case without accents, look-alikes and invisible signs."""
+    if name.isascii() and name.isprintable():
+        return " ".join(name.lower().split())
     text = " ".join(w for w in (table_form(w) for w in re.split(r"[\s⠀]+", name)) if w).lower()
     text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return text.replace("ł", "l").replace("ø", "o").replace("ß", "ss").replace("đ", "d")
