@@ -147,7 +147,7 @@ def spellings(authors: DataFrame, key: str = "id", name: str = "name") -> DataFr
     forms = every.select("word", "one", F.explode(_left_out("word")).alias("_f")).select("word", "one", F.xxhash64("_f").alias("_f"))
     met = forms.filter("one = 0").select("word", "_f").join(forms.filter("one = 1").select(F.col("word").alias("to"), "_f"), "_f").select("word", "to").distinct()
     near = met.filter("word <> to").join(known.select(F.col("word").alias("to"), "n"), "to").join(placed.select("word", F.col("n").alias("own")), "word")
-    right = near.filter(F.col("n") >= FAR_MORE * F.col("own")).filter(_one_edit("word", "to"))
+    right = near.filter((F.col("n") >= FAR_MORE * F.col("own")) | (F.col("own") == 1)).filter(_one_edit("word", "to"))
     right = right.groupBy("word").agg(F.max(F.struct("n", "to")).alias("_m")).select("word", F.col("_m.to").alias("to"))
     score = cut(placed.join(right, "word", "left").select("word", F.when(F.col("to").isNotNull(), F.greatest("given", F.lit(MISSPELT))).otherwise(F.col("given")).alias("given"), F.coalesce("to", "word").alias("to")))
     two = people.filter("size(full) >= 2").select("name", "initials", "suffix", F.col("full")[0].alias("x"), F.element_at("full", -1).alias("y"), F.slice("full", 2, F.size("full") - 2).alias("inner"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from bookwarp.llm.words import bare, spread
 from bookwarp.stage import blank, cut
 
-LOW_SHARE, HIGH_SHARE = 5e-4, 0.2
+LOW_SHARE, HIGH_SHARE = 5e-4, 0.5
 DIMENSIONS = 64
 PASSES = 3
 REFINEMENTS = 3
@@ -98,6 +98,8 @@ def _add_up(parts: DataFrame) -> dict[int, np.ndarray]:
 def _singular(encoded: DataFrame, weights: np.ndarray, dimensions: int, passes: int) -> np.ndarray:
     """The leading right singular vectors of the weighted matrix by subspace iteration, most important first."""
     v = len(weights)
+    if not v:
+        return np.zeros((0, 1))
     k = min(dimensions, v)
     basis = np.linalg.qr(np.random.default_rng(7).normal(size=(v, k)))[0]
     for _ in range(passes):
