@@ -178,8 +178,9 @@ def canonical_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``texts`` with a column ``canon``: two texts have the same ``canon`` if and only if they look the same.
 
     Null and blank texts, and texts of nothing but invisible signs, get an empty ``canon``.  Repeated rows stay repeated.
-    The input must not have columns named ``canon`` or beginning with ``_lk_``.
+    Columns of the input named ``canon`` or beginning with ``_lk_`` are replaced or dropped.
     """
+    texts = texts.select(*[F.col(f"`{c}`") for c in texts.columns if c != "canon" and not c.startswith("_lk_")])
     rows = texts.withColumn("_lk_odd", F.coalesce(F.col(text).rlike(ODD), F.lit(False)))
     words = F.filter(F.split(F.col(text), SPACE), lambda w: w != "")
     usual = F.coalesce(F.array_join(words, " "), F.lit(""))
