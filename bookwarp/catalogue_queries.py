@@ -166,6 +166,13 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _authors(spark, sf_dir).select("id", F.array_join(name_signature("name"), " ").alias("signature"))
 
 
+def line_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as volumes of a series: the order is the series, the line number the position."""
+    name = F.col("l_orderkey").cast("string")
+    made = F.struct(F.col("l_orderkey").alias("id"), name.alias("name"), name.alias("sort"), F.lit("").alias("link"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), made.alias("series"), F.col("l_linenumber").cast("double").alias("series_index"))
+
+
 def _report(f):
     return lambda spark, sf_dir: f(library(spark, sf_dir))
 
@@ -190,6 +197,8 @@ QUERIES = {
     "series_duplicate_positions": _on_library(lambda b: series.duplicate_positions(b).select("series_name", "series_index", listed("book_ids").alias("ids"))),
     "series_gaps": _on_library(lambda b: series.gaps(b).select("series_name", listed("missing").alias("missing"), "low", "high")),
     "series_issues": _on_library(series.series_issues),
+    "line_duplicate_positions": lambda s, d: series.duplicate_positions(line_positions(s, d)).select("series_name", "series_index", listed("book_ids").alias("ids")),
+    "line_gaps": lambda s, d: series.gaps(line_positions(s, d)).select("series_name", listed("missing").alias("missing"), "low", "high"),
     "isbn_valid": isbn_check,
     "isbn_duplicates": _on_library(lambda b: duplicates.isbn_groups(b).select("reason", listed("book_ids").alias("ids"))),
     "author_signatures": signatures,
@@ -347,6 +356,9 @@ SELECT 'books_per_year', label, n FROM py UNION ALL SELECT 'largest_books', titl
     "series_gaps": _SERIES + f"SELECT series_name, {_ids('missing')} AS missing, low, high FROM gap",
     "series_issues": _SERIES + f"""SELECT series_name, 'duplicate_position' AS issue_type, 'position ' || CASE WHEN series_index = floor(series_index) THEN series_index::BIGINT::VARCHAR ELSE series_index::VARCHAR END || ' used by books ' || {_ids('ids')} AS detail FROM dup
 UNION ALL SELECT series_name, 'gap', 'missing position(s) ' || {_ids('missing')} || ' between ' || low || ' and ' || high FROM gap""",
+    "line_duplicate_positions": f"SELECT l_orderkey::VARCHAR AS series_name, l_linenumber::DOUBLE AS series_index, {_ids('list(l_partkey ORDER BY l_partkey)')} AS ids FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
+    "line_gaps": f"""WITH w AS (SELECT DISTINCT l_orderkey::VARCHAR AS s, l_linenumber::BIGINT AS n FROM lineitem), r AS (SELECT s, min(n) AS low, max(n) AS high, list(n) AS have FROM w GROUP BY 1),
+m AS (SELECT s, low, high, list_sort(list_filter(range(low, high + 1), lambda x: NOT list_contains(have, x))) AS missing FROM r) SELECT s AS series_name, {_ids('missing')} AS missing, low, high FROM m WHERE len(missing) > 0""",
     "isbn_valid": f"SELECT id, {_VALID('val')} AS valid FROM (SELECT DISTINCT id, book, type, val FROM identifiers WHERE type = 'isbn' UNION ALL SELECT -o_orderkey, NULL, '', '978' || lpad(o_orderkey::VARCHAR, 9, '0') || (o_custkey % 10) FROM orders)",
     "isbn_duplicates": _LIB + f"SELECT 'isbn=' || isbn AS reason, {_ids('list(id ORDER BY id)')} AS ids FROM lib WHERE isbn <> '' GROUP BY isbn HAVING count(*) > 1",
     "author_signatures": _AUTHORS + "SELECT id, array_to_string(sig, ' ') AS signature FROM sg",

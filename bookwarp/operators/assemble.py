@@ -74,7 +74,8 @@ def assemble(tables: dict[str, DataFrame]) -> DataFrame:
 
     Text that is null becomes empty, an unknown rating or size 0, a missing series null.
     """
-    books = tables["books"]
+    own = ("id", "uuid", "title", "sort", "author_sort", "series_index", "pubdate", "has_cover", "path", "timestamp", "last_modified")
+    books = tables["books"].select(*[c for c in own if c in tables["books"].columns])  # further columns may bear children's names
     have = lambda *names: all(n in tables for n in names)
     children = []
     if have("books_authors_link", "authors"):

@@ -74,3 +74,28 @@ def carry_out(plan: DataFrame, root: str | Path, apply: bool = False) -> list[Ou
                 else:
                     result.renamed.append(r.new_name)
     return out
+
+
+LARGEST_SIDE = 800
+
+
+def save_cover(folder: str | Path, content: bytes) -> str:
+    """Saves an image as cover.jpg in a book's folder, its larger side at most ``LARGEST_SIDE``; returns what went wrong."""
+    import io
+
+    folder = Path(folder)
+    if not folder.exists():
+        return f"Book folder not found: {folder}"
+    if not content:
+        return "No image data"
+    try:
+        from PIL import Image
+    except ImportError as error:
+        raise ImportError("Saving covers needs the optional 'Pillow' dependency - install it with: pip install Pillow") from error
+    try:
+        image = Image.open(io.BytesIO(content)).convert("RGB")
+        image.thumbnail((LARGEST_SIDE, LARGEST_SIDE))
+        image.save(folder / "cover.jpg", "JPEG", quality=90)
+    except Exception as error:  # noqa: BLE001  (what an unreadable image raises is open)
+        return f"Could not save cover: {error}"
+    return ""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookwarp.functions.text import path_component
@@ -17,8 +17,10 @@ def organize_plan(books: DataFrame) -> DataFrame:
     author = path_component(F.when(F.size("authors") > 0, first).otherwise("Unknown"))
     title = path_component("title", F.concat(F.lit("Untitled ("), F.col("id").cast("string"), F.lit(")")))
     rows = books.withColumn("_author", author).withColumn("_title", title).withColumn("_path", F.concat_ws("/", "_author", "_title"))
-    place = F.row_number().over(Window.partitionBy(F.lower("_path")).orderBy("id"))
-    path = F.when(place == 1, F.col("_path")).otherwise(F.concat(F.col("_path"), F.lit(" ("), F.col("id").cast("string"), F.lit(")")))
+    # the least id of each place is aggregated before the shuffle, so a place that very many books want is no hot window
+    holders = rows.groupBy(F.lower("_path").alias("_place")).agg(F.min("id").alias("_holder"))
+    rows = rows.withColumn("_place", F.lower("_path")).join(holders, "_place")
+    path = F.when(F.col("id") == F.col("_holder"), F.col("_path")).otherwise(F.concat(F.col("_path"), F.lit(" ("), F.col("id").cast("string"), F.lit(")")))
     renames = F.transform("format_files", lambda f: F.struct(f["format"].alias("format"), f["name"].alias("old_name"), F.col("_title").alias("new_name")))
     out = rows.select(F.col("id").alias("book_id"), "title", F.col("_author").alias("author"), F.col("path").alias("current_path"), path.alias("proposed_path"), renames.alias("format_renames"))
     out = out.withColumn("folder_changed", F.col("current_path") != F.col("proposed_path"))
