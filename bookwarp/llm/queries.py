@@ -78,7 +78,44 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 
+
+
+def _look_sql() -> str:
+    """The look-alike table's form as an expression over ``t``, for checking: letters by translate, signs by patterns."""
+    import unicodedata
+
+    nfc = lambda x: unicodedata.normalize("NFC", x)
+    letters = dict(lookalike.LETTER)
+    for a, b in lookalike.LETTER.items():  # letters with marks, as far as there are composed ones
+        for mark in range(0x300, 0x345):
+            if len(x := nfc(a + chr(mark))) == 1:
+                letters[x] = nfc(b + chr(mark))
+    wide = {chr(n): lookalike.same_width(chr(n)) for n in (*range(0xFF01, 0xFF5F), *range(0x2160, 0x2180), *range(0xFB00, 0xFB07))}
+    quote = lambda x: x.replace("'", "''")
+    expr = "t"
+    for a, b in wide.items():
+        if len(b) > 1:
+            expr = f"replace({expr}, '{a}', '{quote(b)}')"
+    single = {a: b for a, b in wide.items() if len(b) == 1}
+    expr = f"translate({expr}, '{''.join(single)}', '{quote(''.join(single.values()))}')"
+    kept = r"regexp_replace({0}, '(\p{{Arabic}})[\x{{200c}}\x{{200d}}]+(\p{{Arabic}})', '\1' || chr(57344) || '\2', 'g')"
+    for _ in range(2):  # a letter between two joiners belongs to both
+        expr = kept.format(expr)
+    expr = rf"replace(regexp_replace({expr}, '[\p{{Cf}}\x{{0}}-\x{{8}}\x{{e}}-\x{{1b}}\x{{7f}}]', '', 'g'), chr(57344), chr(8204))"
+    many = {a: b for a, b in letters.items() if len(b) > 1}
+    expr = f"nfc_normalize({expr})"
+    for a, b in many.items():
+        expr = f"replace({expr}, '{a}', '{b}')"
+    one = {a: b for a, b in letters.items() if len(b) == 1}
+    expr = f"nfc_normalize(translate({expr}, '{''.join(one)}', '{''.join(one.values())}'))"
+    return rf"trim(regexp_replace({expr}, '[\s\p{{Z}}\x{{85}}\x{{0b}}\x{{2800}}]+', ' ', 'g'))"
+
+
 SQL = {
+    "p1_found": f"""
+WITH x AS (SELECT 'books' AS tbl, id, title AS t FROM books UNION SELECT 'authors', id, name FROM authors),
+k AS (SELECT tbl, id, t, {_look_sql()} AS form FROM x WHERE t IS NOT NULL AND id IS NOT NULL)
+SELECT DISTINCT a.tbl, a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.tbl = b.tbl AND a.form = b.form AND a.t <> b.t AND a.id < b.id WHERE a.form <> ''""",
     "p2_found": r"""
 WITH stand AS (SELECT unnest(['unknown','untitled','n/a','na','none','null','nil','-','--','?','??','???','n.n.','anonymous','anon.','tbd','tba','no title','not known','[unknown]','(unknown)','']) AS s),
 b AS (SELECT * FROM books QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1),
