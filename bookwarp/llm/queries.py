@@ -123,10 +123,11 @@ a AS (SELECT * FROM authors QUALIFY row_number() OVER (PARTITION BY id ORDER BY
 m AS (SELECT DISTINCT group_id, unnest(book_ids) AS id FROM duplicate_groups),
 h AS (SELECT m.group_id, b.* FROM m JOIN b ON b.id = m.id),
 n AS (SELECT m.group_id, unnest([x.name, x.sort]) AS name FROM m JOIN books_authors_link l ON l.book = m.id JOIN authors x ON x.id = l.author UNION SELECT group_id, author_sort FROM h),
-e AS (SELECT DISTINCT group_id, list_sort(regexp_extract_all(lower(strip_accents(name)), '[\p{L}\p{N}]+')) AS sig FROM n),
+e AS (SELECT DISTINCT group_id, list_sort(regexp_extract_all(lower(strip_accents(LOOK)), '[\p{L}\p{N}]+')) AS sig FROM (SELECT group_id, name AS t FROM n)),
+ti AS (SELECT DISTINCT id, list_sort(regexp_extract_all(lower(strip_accents(LOOK)), '[\p{L}\p{N}]+')) AS sig FROM (SELECT id, title AS t FROM h)),
 bc AS (
   SELECT group_id, 'title' AS field, id, last_modified AS chg FROM h WHERE title IS NOT NULL AND lower(trim(title)) NOT IN (SELECT s FROM stand)
-    AND NOT EXISTS (SELECT 1 FROM e WHERE e.group_id = h.group_id AND len(e.sig) > 0 AND e.sig = list_sort(regexp_extract_all(lower(strip_accents(h.title)), '[\p{L}\p{N}]+')))
+    AND NOT EXISTS (SELECT 1 FROM e WHERE e.group_id = h.group_id AND len(e.sig) > 0 AND e.sig = (SELECT ti.sig FROM ti WHERE ti.id = h.id))
   UNION ALL SELECT group_id, 'author_sort', id, last_modified FROM h WHERE author_sort IS NOT NULL AND lower(trim(author_sort)) NOT IN (SELECT s FROM stand)
   UNION ALL SELECT group_id, 'pubdate', id, last_modified FROM h WHERE regexp_full_match(pubdate, '[0-9]{4}-[0-9]{2}-[0-9]{2}( ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\+00:00)?')
     AND year(TRY_CAST(left(pubdate, 10) AS DATE)) BETWEEN 1450 AND 2026),
@@ -136,7 +137,7 @@ ah AS (SELECT am.group_id, a.*, (a.sort IS NOT NULL AND lower(trim(a.sort)) NOT
 ac AS (SELECT group_id, 'sort' AS field, id, loaded_at AS chg FROM ah WHERE s_ok UNION ALL SELECT group_id, 'link', id, loaded_at FROM ah WHERE l_ok)
 SELECT 'book' AS grp, group_id, field, id AS record_id FROM bc QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY chg DESC) = 1
 UNION ALL SELECT 'author', group_id, field, id FROM ac QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY chg DESC) = 1
-UNION ALL SELECT 'author', group_id, 'canonical_author_id', id FROM ah QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY s_ok::INT + l_ok::INT DESC, loaded_at DESC) = 1""",
+UNION ALL SELECT 'author', group_id, 'canonical_author_id', id FROM ah QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY s_ok::INT + l_ok::INT DESC, loaded_at DESC) = 1""".replace("LOOK", _look_sql()),
     "p3_found": """
 WITH RECURSIVE e AS (
   SELECT kind, id_a AS a, id_b AS b FROM match_pairs WHERE decision = 'same' UNION SELECT kind, id_b, id_a FROM match_pairs WHERE decision = 'same'
