@@ -9,8 +9,9 @@
    a vocabulary-sized matrix per task, adds these up by blocks of terms, and only the sum reaches the driver.
 4. Seed centroids are the means of the sample's documents by subject and language; they are refined by the documents
    that lie clearly nearest to one of them.
-5. Each sentence is embedded and goes to the subject of the nearest centroid by cosine.  A subject counts if it has one
-   sentence in a text of up to three and at least two in a longer one, and a share of the sentences that have a subject.
+5. Each sentence is embedded and goes to the subject of the nearest centroid by cosine.  The subject with most sentences
+   counts.  A second one counts in a text of up to three sentences if its sentences are as strong as the first one's, in a
+   longer text if it has at least two sentences and a share of those that have a subject.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ PRIOR = 3.0
 SENTENCE_COSINE = 0.2
 SENTENCE_WEIGHT = 0.05
 SECOND_SHARE = 0.15
+#: Least strength of the second subject's sentences, on average, against those of the first: in texts of up to three sentences and in longer ones.
+SECOND_STRENGTH = (1.0, 0.2)
 CLEAR = (0.5, 0.2)
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n\s*\n|</p>|<br\s*/?>")
 QUOTED = re.compile(r"[\"“][A-ZÀ-Þ][^\"“”\n]{0,80}[\"”]")
@@ -163,8 +166,13 @@ class Model:
         strength = np.bincount(best[says], weights=size[says], minlength=self.shape[0])
         order = np.lexsort((-strength, -votes))
         first, second = int(order[0]), int(order[min(1, len(order) - 1)])
-        needed = 2 if len(ends) >= 4 else 1
-        both = second != first and votes[second] >= needed and votes[second] >= share * votes.sum()
+        if second == first or not votes[second]:
+            return [first]
+        ratio = strength[second] / votes[second] * votes[first] / strength[first]
+        if len(ends) < 4:  # an aside names one term, a sentence about a subject several
+            both = ratio >= SECOND_STRENGTH[0]
+        else:
+            both = votes[second] >= 2 and votes[second] >= share * votes.sum() and ratio >= SECOND_STRENGTH[1]
         return [first, second] if both else [first]
 
 
