@@ -16,7 +16,7 @@ from bookwarp.plans import changes, organize
 from bookwarp.providers import mapping
 from bookwarp.reports import tables as R
 from bookwarp.sources.cache import fresh
-from bookwarp.stage import latest, table
+from bookwarp.stage import latest, latest_fields, table
 
 SERIES_TITLE = r"^(.*?),? (Vol\.|Book|Volume|Part) [0-9]+$"
 BOOK_FIELDS = ("title", "sort", "timestamp", "pubdate", "series_index", "author_sort", "path", "uuid", "has_cover", "last_modified")
@@ -25,7 +25,7 @@ BOOK_FIELDS = ("title", "sort", "timestamp", "pubdate", "series_index", "author_
 def normalised(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The tables of a catalogue, each record once."""
     t = lambda name: table(spark, sf_dir, name)
-    books = latest(t("books"), "id", "loaded_at", *BOOK_FIELDS).drop("loaded_at")
+    books = latest_fields(t("books"), "id", "loaded_at", *BOOK_FIELDS)
     docs = t("documents").filter("book is not null")
     about = docs.select("doc_id", "book", "text", "kind", "source", "lang", "n_chars")
     name = F.regexp_extract("title", SERIES_TITLE, 1)
@@ -33,7 +33,7 @@ def normalised(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     entity = lambda df: df.select(F.col("name").alias("id"), "name", F.col("name").alias("sort"), F.lit("").alias("link"))
     return {
         "books": books,
-        "authors": latest(t("authors"), "id", "loaded_at", "name", "sort", "link").drop("loaded_at"),
+        "authors": latest_fields(t("authors"), "id", "loaded_at", "name", "sort", "link"),
         "books_authors_link": t("books_authors_link").select("id", "book", "author").distinct(),
         "identifiers": t("identifiers").select("id", "book", "type", "val").distinct(),
         "comments": about.filter("kind = 'blurb'").select(F.col("doc_id").alias("id"), "book", "text"),

@@ -72,7 +72,7 @@ def field_values(field: str) -> Column:
 def _as_number(value: Column, field: str) -> Column:
     if field == "has_cover":
         return F.when(value == "True", 1.0).otherwise(0.0)
-    return F.expr("x -> x") if value is None else F.when(value == "", 0.0).otherwise(strip(value).try_cast("double"))
+    return F.when(value == "", 0.0).otherwise(strip(value).try_cast("double"))
 
 
 def _fuzzy(needle: str, threshold: float):

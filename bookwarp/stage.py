@@ -33,6 +33,14 @@ def latest(df: DataFrame, key: str, when: str, *fields: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(packed).select(key, f"_last.{when}", *[f"_last.{f}" for f in fields])
 
 
+def latest_fields(df: DataFrame, key: str, when: str, *fields: str) -> DataFrame:
+    """One row per ``key`` with each field as the row that arrived last has it (of several at once, the greatest).
+
+    Every field is an aggregate of its own, so that fields which a query doesn't use are neither read nor shuffled.
+    """
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(F.struct(F.col(when), F.col(f)))[f].alias(f) for f in fields])
+
+
 def blank(column) -> F.Column:
     """Null, or nothing but white space."""
     return column.isNull() | column.rlike(r"(?U)^\s*$")

@@ -234,3 +234,13 @@ def test_cli(spark, database, tmp_path):
     assert "The Maze of Bones" in run("repair", "--apply", str(tmp_path / "new"))
     assert spark.read.parquet(str(tmp_path / "new" / "books.parquet")).filter("title = 'The Maze of Bones'").count() == 1
     assert "Doctor Sleep" in run("organize", "--library", str(tmp_path))
+
+
+def test_latest_fields(spark):
+    from bookwarp.stage import latest, latest_fields
+
+    rows = spark.createDataFrame([(1, 1, "old", 5), (1, 2, "new", None), (1, 2, "even", 3), (None, 9, "x", 1), (2, None, "only", 4)], "id bigint, at int, a string, b int")
+    assert sorted(tuple(r) for r in latest_fields(rows, "id", "at", "a", "b").collect()) == [(1, "new", 3), (2, "only", 4)]
+    assert sorted(tuple(r) for r in latest(rows, "id", "at", "a").collect()) == [(1, 2, "new"), (2, None, "only")]
+    plan = latest_fields(rows, "id", "at", "a", "b").select("id", "a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "b#" not in plan.split("LogicalRDD")[0]
