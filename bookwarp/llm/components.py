@@ -48,7 +48,7 @@ def _relabel(edges: DataFrame, moved: DataFrame) -> DataFrame:
     """Edges with their ends replaced by ``moved`` (kind, v, parent)."""
     a = moved.select("kind", F.col("v").alias("u"), F.col("parent").alias("_u"))
     b = moved.select("kind", F.col("v").alias("w"), F.col("parent").alias("_w"))
-    out = edges.join(a.hint("merge"), ["kind", "u"], "left").join(b.hint("merge"), ["kind", "w"], "left")
+    out = edges.join(a.hint("merge"), ["u", "kind"], "left").join(b.hint("merge"), ["w", "kind"], "left")
     return _simple(out.select("kind", F.coalesce("_u", "u").alias("u"), F.coalesce("_w", "w").alias("w")))
 
 
@@ -56,7 +56,7 @@ def _strip(edges: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """(removed, left, counts): vertices of degree one with their only neighbour; of an isolated edge only the larger end."""
     degrees = _both(edges).groupBy("kind", "v").agg(F.count("*").alias("n"))
     a, b = (degrees.select("kind", F.col("v").alias(x), F.col("n").alias("d" + x)) for x in "uw")
-    known, n = _cut(edges.join(a.hint("merge"), ["kind", "u"]).join(b.hint("merge"), ["kind", "w"]), edges="true", leaves="du = 1 or dw = 1")
+    known, n = _cut(edges.join(a.hint("merge"), ["u", "kind"]).join(b.hint("merge"), ["w", "kind"]), edges="true", leaves="du = 1 or dw = 1")
     end = F.when(F.col("dw") == 1, F.struct(F.col("w").alias("v"), F.col("u").alias("parent"))).otherwise(F.struct(F.col("u").alias("v"), F.col("w").alias("parent")))
     removed = known.filter("du = 1 or dw = 1").select("kind", end.alias("_e")).select("kind", "_e.v", "_e.parent")
     return removed, known.filter("du > 1 and dw > 1").select("kind", "u", "w"), n
@@ -65,7 +65,7 @@ def _strip(edges: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
 def _jump(arcs: DataFrame) -> DataFrame:
     """Every arc that has a next one takes that one's end and next."""
     ahead = arcs.select("kind", F.col("v").alias("at"), F.col("side").alias("next_side"), F.col("at").alias("_at"), F.col("next_side").alias("_next"), F.lit(True).alias("_hit"))
-    hit = arcs.join(ahead.hint("merge"), ["kind", "at", "next_side"], "left")
+    hit = arcs.join(ahead.hint("merge"), ["at", "next_side", "kind"], "left")
     return hit.select("kind", "v", "side", F.when(F.col("_hit"), F.col("_at")).otherwise(F.col("at")).alias("at"), F.when(F.col("_hit"), F.col("_next")).alias("next_side"))
 
 
@@ -79,7 +79,7 @@ def _chains(edges: DataFrame, rings: bool) -> tuple[DataFrame, DataFrame, int] |
     towards = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lo").alias("at")), F.struct(F.lit(1).alias("side"), F.col("hi").alias("at"))))
     arcs = inner.select("kind", "v", towards.alias("_a")).select("kind", "v", "_a.side", "_a.at")
     sides = inner.select("kind", F.col("v").alias("at"), F.col("lo").alias("_lo"))
-    arcs = arcs.join(sides.hint("merge"), ["kind", "at"], "left").select("kind", "v", "side", "at", F.when(F.col("_lo") == F.col("v"), 1).when(F.col("_lo").isNotNull(), 0).alias("next_side"))
+    arcs = arcs.join(sides.hint("merge"), ["at", "kind"], "left").select("kind", "v", "side", "at", F.when(F.col("_lo") == F.col("v"), 1).when(F.col("_lo").isNotNull(), 0).alias("next_side"))
     before, left = -1, -2
     while left != 0 and left != before:  # while there are chains, each round ends some arcs; arcs in rings stay
         before = left
@@ -90,7 +90,7 @@ def _chains(edges: DataFrame, rings: bool) -> tuple[DataFrame, DataFrame, int] |
     if not n["all"]:
         return None
     gone = ranked.select("kind", F.col("v").alias("u"))
-    kept = edges.join(gone.hint("merge"), ["kind", "u"], "left_anti").join(gone.withColumnRenamed("u", "w").hint("merge"), ["kind", "w"], "left_anti")
+    kept = edges.join(gone.hint("merge"), ["u", "kind"], "left_anti").join(gone.withColumnRenamed("u", "w").hint("merge"), ["w", "kind"], "left_anti")
     short = ranked.select("kind", F.col("parent").alias("u"), F.col("other").alias("w"))
     after, n = _cut(_simple(kept.select("kind", "u", "w").unionByName(short)), all="true")
     return ranked.select("kind", "v", "parent"), after, n["all"]
@@ -102,7 +102,7 @@ def _hook(edges: DataFrame) -> DataFrame:
     left = 1
     while left:
         up = tree.select("kind", F.col("v").alias("parent"), F.col("parent").alias("_up"))
-        tree, n = _cut(tree.join(up.hint("merge"), ["kind", "parent"]).select("kind", "v", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("moved")), left="moved")
+        tree, n = _cut(tree.join(up.hint("merge"), ["parent", "kind"]).select("kind", "v", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("moved")), left="moved")
         left = n["left"]
     return tree.filter("v <> parent").select("kind", "v", "parent")
 
@@ -145,10 +145,10 @@ def _restore(vertices: DataFrame, removed: list[DataFrame]) -> DataFrame:
     pointers = cut(pointers)
     for _ in range((len(removed) - 1).bit_length()):
         up = pointers.select("kind", F.col("v").alias("parent"), F.col("parent").alias("_up"))
-        pointers = cut(pointers.join(up.hint("merge"), ["kind", "parent"], "left").select("kind", "v", F.coalesce("_up", "parent").alias("parent")))
-    rooted = vertices.join(pointers.hint("merge"), ["kind", "v"], "left").select("kind", "v", F.coalesce("parent", "v").alias("root"))
+        pointers = cut(pointers.join(up.hint("merge"), ["parent", "kind"], "left").select("kind", "v", F.coalesce("_up", "parent").alias("parent")))
+    rooted = vertices.join(pointers.hint("merge"), ["v", "kind"], "left").select("kind", "v", F.coalesce("parent", "v").alias("root"))
     least = rooted.groupBy("kind", "root").agg(F.min("v").alias("label"))
-    return rooted.join(least.hint("merge"), ["kind", "root"]).select(_kind(), F.col("v").alias("record_id"), F.col("label").alias("group_id"))
+    return rooted.join(least.hint("merge"), ["root", "kind"]).select(_kind(), F.col("v").alias("record_id"), F.col("label").alias("group_id"))
 
 
 def _kind() -> F.Column:

@@ -117,7 +117,7 @@ def _left_out(word: str) -> F.Column:
 def _near(words: DataFrame, word: str, within: list[str]) -> DataFrame:
     """Pairs (within..., a, b), a < b, of different words one edit apart that share the ``within`` columns."""
     forms = words.select(*within, F.col(word).alias("w"), F.explode(_left_out(word)).alias("_f")).select(*within, "w", F.xxhash64("_f").alias("_f"))
-    met = forms.withColumnRenamed("w", "a").join(forms.withColumnRenamed("w", "b"), [*within, "_f"]).filter("a < b").select(*within, "a", "b").distinct()
+    met = forms.withColumnRenamed("w", "a").join(forms.withColumnRenamed("w", "b"), ["_f", *within]).filter("a < b").select(*within, "a", "b").distinct()
     return met.filter(_one_edit("a", "b"))
 
 
