@@ -281,7 +281,7 @@ def test_packing(spark, monkeypatch):
 # --- leakage ---------------------------------------------------------------------------------------------------------
 
 
-def all_stretches(passage, doc, window=leakage.WINDOW, changed=leakage.CHANGED):
+def all_stretches(passage, doc, window=12, changed=6):
     """By trying every stretch of the passage against every stretch of the document."""
     for i in range(len(passage)):
         for j in range(i + window, len(passage) + 1):
@@ -324,11 +324,26 @@ def test_stretch_and_recall():
     assert found > 40 and missed <= 0.02 * (found + missed)
 
 
+def test_one_change_in_six():
+    rng = random.Random(7)
+    passages = [[f"p{k}w{i}" for i in range(40)] for k in range(20)]
+    index = leakage.Index(passages)
+    for n, changes in ((12, 2), (13, 2), (18, 3), (20, 3)):
+        for kind in ("replaced", "dropped", "added"):
+            for k, passage in enumerate(passages):
+                quote = passage[5 : 5 + n]
+                places = rng.sample(range(1, n - 1), changes) if k else [1, n - 2, 4][:changes]  # also right after the first word
+                for x in sorted(places, reverse=True):
+                    quote[x : x + (kind != "added")] = [] if kind == "dropped" else ["other"]
+                assert index.leaks(" ".join(["before"] * 5 + quote + ["after"] * 5)) == [k], (n, kind, places)
+    assert not leakage.stretch(np.arange(12), np.array([0, 1, 99, 3, 4, 98, 6, 7, 97, 9, 10, 11]))  # three in twelve
+
+
 def test_leaks(spark):
     passage = "Neither Mufi nor the stubborn lock-smith repaired the oak baskets that Hefa pretended to inspect before mid-summer"
     items = [(1, f"Answer using only the text below. {passage}. Who moved it?"), (2, f"Read the passage. {passage}. Why?"), (3, "Answer using only the text below. Another tale of ten slow geese on a very long road to the old town. Why?"), (4, None), (5, "Read the passage. Short. Why?")]
     wrapped = passage.upper().replace("PRETENDED ", "PRETEN-\nDED ").replace("OAK", "<b>ÔAK</b>")
-    docs = [(1, f"Intro text. {wrapped}. More"), (2, passage.replace("oak", "elm")), (3, "Neither Mufi nor the stubborn lock-smith repaired"), (4, None), (5, " "), (6, "Answer using only the text below. Who moved it?"), (7, "word " * 5000 + passage)]
+    docs = [(1, f"Intro text. {wrapped}. More"), (2, passage.replace("oak", "elm").replace("Hefa", "Bufo")), (3, "Neither Mufi nor the stubborn lock-smith repaired"), (4, None), (5, " "), (6, "Answer using only the text below. Who moved it?"), (7, "word " * 5000 + passage)]
     frame = lambda rows, key: spark.createDataFrame(rows, f"{key} bigint, text string").withColumn("suite", F.lit("x"))
     want = {(d, i) for d in (1, 2, 7) for i in (1, 2)}
     for block in (1, 100):
