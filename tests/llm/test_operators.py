@@ -149,6 +149,42 @@ def test_titles_are_parsed():
     assert not matching.same_author("alpha association health of public", "association beta of research")
 
 
+def test_meeting_parts():
+    rng = random.Random(5)
+    known = ["ashlund helen", "ashlund h", "li wu", "bob", "katherine moor", "catherine moor", "mohr robert", "university york", "univ yorkshire", "society of birds the", "birds of the society", "council ax", "ax council", "william smith", "will smyth", "jo li", "ashlund"]
+    def typo(name):  # noqa: E306
+        i = rng.randrange(len(name))
+        return " ".join((name[:i] + rng.choice(["", "x", name[i : i + 1] * 2, name[i + 1 : i + 2] + name[i : i + 1]]) + name[i + 1 :]).split())
+    every = known + [t for n in known for _ in range(8) if (t := typo(n))]
+    agreeing = 0
+    for a in every:
+        for b in every:
+            if matching.same_author(a, b):
+                agreeing += 1
+                assert matching.meeting_parts([a], False) & matching.meeting_parts([b], True), (a, b)
+    assert agreeing > 2 * len(every)
+    assert matching.same_author("smith ronald j", "john smith r") and matching.same_author("ashlund helen mary", "ashlund h")
+    assert not matching.same_author("bellamy wilfred r", "crane wilfred r") and not matching.same_author("bellamy hannah n", "hannah norton p")
+
+
+def test_crowded_titles(spark):
+    """More than 30 books of one title: found by misspelt, abbreviated and nickname authors, or alone if they are one author's."""
+    rng = random.Random(6)
+    surnames = sorted({"".join(rng.choice(["ka", "lo", "mi", "tre", "vos", "bru"]) for _ in range(4)).capitalize() + rng.choice("nrst") * 2 for _ in range(90)})[:60]
+    books = spark.createDataFrame([(i, "Distant Beacon") for i in range(60)] + [(100 + i, "Same Hand") for i in range(40)], "id bigint, title string")
+    authors = spark.createDataFrame([(i, f"William {n}") for i, n in enumerate(surnames)] + [(99, "Ada Solitary")], "id bigint, name string")
+    links = spark.createDataFrame([(i, i) for i in range(60)] + [(100 + i, 99) for i in range(39)], "book bigint, author bigint")
+    isbns = spark.createDataFrame([], "book bigint, type string, val string")
+    shapes = [lambda n: f"Bill {n}", lambda n: f"W. {n}", lambda n: f"William {n[:3]}x{n[4:]}"]
+    asked = [(i, "Distant Beacon", [shapes[i % 3](n)], None, None) for i, n in enumerate(surnames)]
+    asked += [(200, "Same Hand", None, None, None), (201, "Same Hand", ["Zoe Other"], None, None), (202, "Distant Beacon", None, None, None)]
+    candidates = spark.createDataFrame(asked, "candidate_id bigint, title string, authors array<string>, isbn string, fetched_at timestamp")
+    found = {(r.candidate_id, r.book_id) for r in matching.matches(candidates, books, links, authors, isbns).collect()}
+    one = lambda a, b: matching.same_author(matching.author_words(a[2][0]), matching.author_words(f"William {surnames[b]}"))
+    want = {(a[0], b) for a in asked[:60] for b in range(60) if one(a, b)} | {(200, 100 + i) for i in range(40)} | {(201, 139)}
+    assert {(i, i) for i in range(60)} <= want and found == want
+
+
 def test_matches(spark):
     rng = random.Random(4)
     syllables = ["ka", "lo", "mi", "tre", "vos", "bru", "den", "gri", "pu", "sa"]
