@@ -185,6 +185,33 @@ def test_crowded_titles(spark):
     assert {(i, i) for i in range(60)} <= want and found == want
 
 
+def test_misspelt_rare_title_words(spark):
+    """All pairs that reranking accepts, by comparing all with all."""
+    rng = random.Random(9)
+    rare = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5)) for _ in range(400)]
+    titles = [f"Beacon of {rare[i]} and {rare[(7 * i + 1) % 400]}" for i in range(400)]
+    people = [f"Ada {rng.choice(rare).capitalize()}" for _ in range(400)]
+    def typo(word):  # noqa: E306
+        i = rng.randrange(len(word))
+        return word[:i] + rng.choice(["", "x", word[i] * 2]) + word[i + 1 :]
+    frame = lambda rows: spark.createDataFrame(rows, "id bigint, title string, bare string, volume int, authors array<string>, isbns array<string>")
+    parsed = lambda i, t, a: (i, *matching.parse_title(t, [matching.author_words(a)]), [])
+    books = [parsed(i, t, a) for i, (t, a) in enumerate(zip(titles, people, strict=True))]
+    asked = []
+    for i, (t, a) in enumerate(zip(titles, people, strict=True)):
+        ws = t.split(" ")
+        ws[2] = typo(ws[2])
+        ws[4] = typo(ws[4]) if i % 3 == 0 else ws[4]
+        asked.append(parsed(i, " ".join(ws), "A. " + a.split()[1]))
+    told = lambda r: (r[2], r[3], r[4], r[5])
+    want = {(c[0], b[0]) for c in asked for b in books if matching.agree(told(c), told(b))[0]}
+    c, b = frame(asked), frame(books)
+    got = {(r.candidate_id, r.book_id) for r in matching.scored_pairs(c, b, matching.settled_titles(b)).filter("describes").collect()}
+    assert len(want) >= 390 and got == want
+    assert len(set(matching.respelt("a b c", [(0, ["x"]), (1, ["y", "z"]), (2, ["w"])]))) == 11
+    assert len(set(matching.respelt("a b c", [(0, ["x"]), (1, ["y", "z"]), (2, ["w"])], limit=5))) == 9
+
+
 def test_matches(spark):
     rng = random.Random(4)
     syllables = ["ka", "lo", "mi", "tre", "vos", "bru", "den", "gri", "pu", "sa"]
