@@ -212,6 +212,14 @@ def test_misspelt_rare_title_words(spark):
     assert len(set(matching.respelt("a b c", [(0, ["x"]), (1, ["y", "z"]), (2, ["w"])], limit=5))) == 9
 
 
+def test_calibration_takes_all_pairs(spark):
+    """The first 20,000 rows say the opposite of the rest."""
+    pairs = spark.range(0, 80_000, 1, 4).select((F.col("id") % 100 / 100).alias("cosine"), (F.when(F.col("id") < 20_000, F.col("id") % 100 < 50).otherwise(F.col("id") % 100 >= 50)).alias("describes"))
+    slope, offset = matching.calibration(pairs)
+    again = matching.calibration(pairs.orderBy(F.desc("id")))
+    assert slope > 0 > offset and again == (slope, offset)
+
+
 def test_matches(spark):
     rng = random.Random(4)
     syllables = ["ka", "lo", "mi", "tre", "vos", "bru", "den", "gri", "pu", "sa"]
