@@ -1,14 +1,16 @@
 """Text that looks the same in different characters: one consistent form, found by trie and edit automaton.
 
 The vocabulary is every distinct token of all texts.  Tokens in plain spelling (composed, one script, full of nothing
-invisible) form tries; every other token walks a trie with a weighted edit automaton in which a look-alike letter, a
-character of another width and an ignorable sign cost nothing and any other edit costs 1.  Among the words reached within
-the budget (0 for "looks the same") the most frequent one, on a tie the smallest, is the canonical spelling.  A token that
-reaches no word is normalised by table.  Looking the same is an equivalence, so all spellings of a word reach the same
-words and get the same canonical form.
-
-Tries are split over tasks by a hash that is equal for tokens that look the same.  A trie is a sorted list of words in
-which a node is the range of words with a common beginning, which takes no more memory than the words.
+invisible) form tries; every other token walks a trie with a weighted edit automaton, sign by sign as it is written.  A
+look-alike letter, a character of another width (which may stand for several) and an ignorable sign cost nothing, any
+other edit costs 1.  Among the words reached within the budget (0 for "looks the same") the canonical spelling is the one
+in ASCII, of which there is at most one, else the most frequent, on a tie the smallest.  So a token in ASCII keeps itself
+whatever the majority writes, and needs no walk.  A token that reaches no word is normalised by table.  Looking the same
+is an equivalence, so all spellings of a word reach the same words and get the same canonical form.
+
+Tokens meet in one trie by a key that is coarser than their look (no case, no marks), so the tries decide and not the key;
+plain ASCII words go to a trie only if an odd token has their key.  A task sorts its tokens by that key and builds tries
+of whole keys, ``TRIE`` tokens at a time, so its memory doesn't grow with the vocabulary.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ JOINING = ((0x0600, 0x08FF), (0x0900, 0x0DFF), (0x1780, 0x18AF), (0xA840, 0xABFF
 JOINERS = "‌‍"
 SPACE = r"[\s\p{Z}\u0085⠀]+"
 ODD = r"[^\x20-\x7E\s]"
+#: Tokens in one trie, apart from what the last key has more.
+TRIE = 100_000
 FILLERS = frozenset("͏ᅟᅠ឴឵ㅤﾠ")
 
 
@@ -119,6 +123,7 @@ class Trie:
 
     def reach(self, token: str, budget: int = 0) -> list[tuple[int, str]]:
         """(cost, word) for all words that the automaton accepts within the budget."""
+        signs = written(token)
         found: dict[str, int] = {}
         best: dict[tuple[str, int], int] = {}
         stack = [(0, len(self.words), "", 0, 0)]
@@ -127,11 +132,14 @@ class Trie:
             if low >= high or best.get((prefix, at), budget + 1) <= cost:
                 continue
             best[prefix, at] = cost
-            if at == len(token):
+            alike = ""
+            if at == len(signs):
                 if self.words[low] == prefix:
                     found[prefix] = min(found.get(prefix, cost), cost)
+            elif ignorable(signs[at]) and not (signs[at] in JOINERS and prefix and _joins(prefix[-1]) and _joins(_next_visible(signs, at))):
+                stack.append((low, high, prefix, at + 1, cost))  # a sign without a look
             else:
-                alike = CLASSES.get(token[at], token[at])
+                alike = CLASSES.get(signs[at], signs[at])
                 for ch in alike:
                     stack.append((*self.step(low, high, prefix, ch), prefix + ch, at + 1, cost))
                 if cost < budget:  # a sign of the token is too many
@@ -140,38 +148,63 @@ class Trie:
                 for ch in {w[len(prefix)] for w in self.words[low:high] if len(w) > len(prefix)}:
                     node = self.step(low, high, prefix, ch)
                     stack.append((*node, prefix + ch, at, cost + 1))
-                    if at < len(token) and ch not in CLASSES.get(token[at], token[at]):
+                    if alike and ch not in alike:
                         stack.append((*node, prefix + ch, at + 1, cost + 1))
         return sorted((c, w) for w, c in found.items())
 
     def canonical(self, token: str, budget: int = 0) -> str | None:
-        """The most frequent word at the least cost."""
+        """Of the words at the least cost the one in ASCII, else the most frequent."""
         reached = self.reach(token, budget)
         if not reached:
             return None
         least = reached[0][0]
-        return min((w for c, w in reached if c == least), key=lambda w: (-self.counts[w], w))
+        return min((w for c, w in reached if c == least), key=lambda w: (not w.isascii(), -self.counts[w], w))
+
+
+def written(token: str) -> str:
+    """The signs that the automaton reads: decomposed, those of another width as what they stand for."""
+    return unicodedata.normalize("NFD", "".join(same_width(ch) for ch in unicodedata.normalize("NFD", token)))
+
+
+def _next_visible(signs: str, at: int) -> str:
+    return next((ch for ch in signs[at + 1 :] if not ignorable(ch)), " ")
+
+
+def coarse(token: str) -> str:
+    """A key that tokens of one look share: the table's form without case, marks and joiners."""
+    return "".join(c for c in unicodedata.normalize("NFD", table_form(token).lower()) if not unicodedata.combining(c) and c not in JOINERS)
+
+
+def _spelled(rows: list[tuple[str, int]]) -> pd.DataFrame:
+    """(token, canon) of the tokens of some keys: builds the trie of the plain ones, then sends the odd ones through it."""
+    trie = Trie({unicodedata.normalize("NFD", t): n for t, n in rows if plain(t)})
+    out = []
+    for t, _ in rows:
+        if not t.isascii() or not t.isprintable():
+            word = trie.canonical(t)
+            if word is None:  # marks that invisible signs keep out of order
+                word = trie.canonical(visible(t))
+            out.append((t, unicodedata.normalize("NFC", word) if word is not None else table_form(t)))
+    return pd.DataFrame(out, columns=["token", "canon"])
 
 
 def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Tokens of one task, the plain ones first: builds the trie, then sends the others through it."""
-    counts: dict[str, int] = {}
-    tokens: list[str] = []
+    """Tokens of one task in the order of their keys, whole keys at a time."""
+    rows: list[tuple[str, int]] = []
+    last = None
     for batch in batches:
-        for token, n in zip(batch["token"], batch["n"], strict=True):
-            if plain(token):
-                counts[unicodedata.normalize("NFD", token)] = int(n)
-            if not token.isascii() or not token.isprintable():
-                tokens.append(token)
-    trie = Trie(counts)
-    for k in range(0, len(tokens), 10_000):
-        part = tokens[k : k + 10_000]
-        yield pd.DataFrame({"token": part, "canon": [unicodedata.normalize("NFC", w) if (w := trie.canonical(visible(t))) is not None else table_form(t) for t in part]})
+        for key, token, n in zip(batch["_lk_h"], batch["token"], batch["n"], strict=True):
+            if len(rows) >= TRIE and key != last:
+                yield _spelled(rows)
+                rows = []
+            rows.append((token, int(n)))
+            last = key
+    yield _spelled(rows)
 
 
 @F.pandas_udf(T.StringType())
-def _table_form(tokens: pd.Series) -> pd.Series:
-    return tokens.map(table_form)
+def _coarse(tokens: pd.Series) -> pd.Series:
+    return tokens.map(coarse)
 
 
 def canonical_texts(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -185,11 +218,11 @@ def canonical_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     words = F.filter(F.split(F.col(text), SPACE), lambda w: w != "")
     usual = F.coalesce(F.array_join(words, " "), F.lit(""))
     counts = rows.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    ascii_token = ~F.col("token").rlike(ODD)
-    # what looks the same has the same table form, and plain ASCII is its own
-    alike = counts.filter(~ascii_token).withColumn("_lk_h", F.xxhash64(_table_form("token"))).unionByName(counts.filter(ascii_token).withColumn("_lk_h", F.xxhash64("token")))
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    forms = alike.repartition(parts, "_lk_h").select("token", "n").mapInPandas(_resolve, "token string, canon string")
+    odd_token = counts.filter(F.col("token").rlike(ODD)).withColumn("_lk_h", F.xxhash64(_coarse("token")))
+    usual_token = counts.filter(~F.col("token").rlike(ODD)).withColumn("_lk_h", F.xxhash64(F.lower("token")))
+    usual_token = usual_token.join(odd_token.select("_lk_h").distinct(), "_lk_h", "left_semi")
+    alike = odd_token.unionByName(usual_token.select("token", "n", "_lk_h")).repartition("_lk_h").sortWithinPartitions("_lk_h")
+    forms = alike.select("_lk_h", "token", "n").mapInPandas(_resolve, "token string, canon string")
     odd_texts = rows.filter("_lk_odd").select(F.col(text).alias("_lk_t")).distinct()
     pieces = odd_texts.select("_lk_t", F.posexplode(F.filter(F.split("_lk_t", SPACE), lambda w: w != "")).alias("_lk_pos", "token"))
     spelled = pieces.join(forms, "token", "left").withColumn("_lk_w", F.struct("_lk_pos", F.coalesce("canon", "token").alias("w")))
