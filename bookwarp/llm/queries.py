@@ -16,19 +16,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look_pairs(titles.unionByName(names))
 
 
-def _survivors(spark: SparkSession, sf_dir: str, prior: str) -> DataFrame:
+def _survivors(spark: SparkSession, sf_dir: str, half_life: float | None) -> DataFrame:
     names = ("duplicate_groups", "author_duplicate_groups", "books", "books_authors_link", "authors")
-    return fusion.survivors(*[table(spark, sf_dir, t) for t in names], prior)
+    return fusion.survivors(*[table(spark, sf_dir, t) for t in names], half_life)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The member that supplies each surviving field, the newest usable value first."""
-    return _survivors(spark, sf_dir, "newest")
+    """The member that supplies each surviving field; the value that changed last holds."""
+    return _survivors(spark, sf_dir, fusion.HOLDS)
 
 
 def p2_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by votes alone: the value of greatest posterior under a uniform prior."""
-    return _survivors(spark, sf_dir, "uniform")
+    """The same if values never change: all claims count alike, whenever they were made."""
+    return _survivors(spark, sf_dir, None)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def test_survivors(spark):
     none = fusion.survivors(groups.limit(0), people.limit(0), books, links, authors)
     assert none.count() == 0
     with pytest.raises(ValueError):
-        fusion.fuse(fusion.author_claims(people, authors), "oldest")
+        fusion.fuse(fusion.author_claims(people, authors), 0)
 
 
 def test_copied_votes_count_less(spark):
@@ -160,13 +160,37 @@ def test_copied_votes_count_less(spark):
         for s, value in enumerate([*stated, stated[-1], stated[-1]], 1):
             rows.append(("book", g, "title", 10 * g + s, value, s, D(2025, 1, 1), D(2025, 1, 1)))
     claims = spark.createDataFrame(rows, "grp string, group_id bigint, field string, record_id bigint, value string, source bigint, at timestamp, arrived timestamp")
-    fused = {r.group_id: r.value for r in fusion.fuse(claims, "uniform").collect()}
+    fused = {r.group_id: r.value for r in fusion.fuse(claims, None).collect()}
     votes = {g: [r[4] for r in rows if r[1] == g] for g in range(200)}
     majority = sum(max(sorted(set(v)), key=v.count) == "t" for v in votes.values())
     right = sum(v == "t" for v in fused.values())
     assert right >= 180 and right > majority + 5
 
 
+def test_newest_value_is_the_likeliest(spark):
+    """The posterior alone chooses: the newest value however few state it, by votes where moments are equal."""
+    rng = random.Random(12)
+    at = lambda k: D(2025, 1, 1, 0, 0, 0, k)  # noqa: E731  (microseconds apart)
+    rows, want = [], {}
+    for g in range(300):
+        n = rng.randint(1, 9)
+        moments = rng.sample(range(20), n) if g % 3 else [rng.randrange(3) for _ in range(n)]
+        for k, m in enumerate(moments):
+            source = rng.choice([1, 2, 3, 4, 5, 5, None])
+            rows.append(("book", g, "title", 100 * g + k, rng.choice("xyz"), source, None if rng.random() < 0.1 else at(m), at(m)))
+        mine = [r for r in rows if r[1] == g]
+        last = max((r[6] for r in mine if r[6] is not None), default=None)
+        want[g] = {r[3] for r in mine if r[6] == last}
+    claims = spark.createDataFrame(rows, "grp string, group_id bigint, field string, record_id bigint, value string, source bigint, at timestamp, arrived timestamp")
+    found = {r.group_id: (r.record_id, r.value, r.p) for r in fusion.fuse(claims).collect()}
+    assert found.keys() == want.keys() and all(found[g][0] in want[g] for g in want)
+    best = {}
+    for r in fusion.posteriors(claims, half_life=fusion.HOLDS).collect():
+        best[r.group_id] = max(best.get(r.group_id, (0, "")), (r.p, r.value))
+    assert all(found[g][1] == best[g][1] or abs(found[g][2] - best[g][0]) < 1e-6 for g in want)
+    assert sum(len(w) > 1 for w in want.values()) > 30
+
+
 # --- matching --------------------------------------------------------------------------------------------------------
 
 
@@ -246,11 +270,41 @@ def test_misspelt_rare_title_words(spark):
 
 
 def test_calibration_takes_all_pairs(spark):
-    """The first 20,000 rows say the opposite of the rest."""
-    pairs = spark.range(0, 80_000, 1, 4).select((F.col("id") % 100 / 100).alias("cosine"), (F.when(F.col("id") < 20_000, F.col("id") % 100 < 50).otherwise(F.col("id") % 100 >= 50)).alias("describes"))
-    slope, offset = matching.calibration(pairs)
-    again = matching.calibration(pairs.orderBy(F.desc("id")))
-    assert slope > 0 > offset and again == (slope, offset)
+    """The first 20,000 rows say the opposite of the rest, and their order changes nothing."""
+    n = F.col("id")
+    cosine, first = n % 100 / 100, n < 20_000
+    equal = F.when(first, n % 100 < 50).otherwise(n % 100 >= 50)
+    pairs = spark.range(0, 80_000, 1, 4).select(n.alias("candidate_id"), cosine.alias("cosine"), F.lit(10.0).alias("rarity"), F.lit(True).alias("titles"), F.lit(matching.SAME).alias("authors"), equal.alias("same_isbn"))
+    pairs = pairs.unionByName(pairs.filter("not same_isbn").withColumn("same_isbn", F.lit(True)).withColumn("titles", F.lit(False)))  # every candidate's isbn is known
+    weights, by_isbn = matching.calibration(pairs)
+    again = matching.calibration(pairs.orderBy(F.desc("candidate_id")))
+    assert weights[matching.SAME][1] > 0 and (again[0] == weights).all() and again[1] == by_isbn
+    assert abs(by_isbn - 0.5) < 0.01
+    assert matching.calibration(pairs.limit(0))[0][:, 0].tolist() == list(matching.PRIOR)
+
+
+def test_vectors_are_trained():
+    """Tokens of one record end nearer to each other than to those of other records, unlike before training."""
+    rng = np.random.default_rng(1)
+    made = lambda: "".join(rng.choice(list("bdfgklmnprstaeiou"), 9))
+    records = []
+    for _ in range(60):
+        own = [made() for _ in range(4)]
+        records += [[own[:2], own[2:], []] for _ in range(8)]
+    walks = matching.random_walks(records, np.random.default_rng(2))
+    unit = lambda table, w: (lambda v: v / np.linalg.norm(v))(table[matching.buckets(w)].mean(axis=0))
+    def nearer(table):  # noqa: E306
+        same = [unit(table, r[0][0]) @ unit(table, r[1][0]) for r in records[::8]]
+        other = [unit(table, r[0][0]) @ unit(table, q[1][0]) for r, q in zip(records[::8], records[8::8], strict=False)]
+        return np.mean(same) - np.mean(other)
+    start = matching.skip_gram(walks, np.random.default_rng(3), epochs=0)
+    assert nearer(matching.skip_gram(walks, np.random.default_rng(3))) > 0.3 > 0.15 > abs(nearer(start))
+
+
+def test_isbns_need_their_check_digit():
+    clean = matching.clean_isbn
+    assert clean("ISBN-13: 978-0-306-40615-7 (pbk)") == "9780306406157" and clean("0-306-40615-2") == "0306406152" and clean("080442957x") == "080442957X"
+    assert not any(map(clean, ("9780306406158", "0000000000", "0000000000000", "97803064061X7", "12", "", None)))
 
 
 def test_matches(spark):
