@@ -1,26 +1,34 @@
-"""Column-level data quality profile per load, from footers where they suffice and from a scan elsewhere.
+"""Column-level data quality profile, from footers and dictionary pages where they suffice and from a scan elsewhere.
 
-``footer_chunks`` reads only the footers of the columnar files (in tasks, one file at a time) and gives each chunk's exact
-rows, nulls and extrema.  A file is settled for a column if in each of its chunks the load is constant and the column is
-all null or one constant value; such a file is never scanned for that column.  The other files are scanned for the
-columns in question only.  Both ways end in one histogram (load_id, value, n), pre-aggregated in every task, from which
-all metrics follow.
+The unit is a column chunk, one column of one row group, and all of it happens in tasks (``sources/chunks.py``):
+
+* the footer gives rows and nulls, and settles a chunk whose rows are all null or whose two bounds are equal.  Bounds of
+  texts may be cut short and need not be values, so no other use is made of them; bounds of integers, dates and moments
+  are values;
+* the dictionary page holds the different values of a chunk, if no page of data went without it; it gives distinct counts
+  and extrema without the pages of data, and settles a chunk with one value;
+* any other chunk is scanned, alone: texts as indices into their dictionary, so a value is looked at once and counted.
+
+``load_histogram`` ends in (load_id, value, n), from which all metrics of a load follow; ``column_profile`` has the null
+rate, the distinct count and the range of every column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bookwarp.sources.chunks import Chunks, over_chunks
 from bookwarp.stage import blank
 
 #: A calendar date, alone or with a time of day at UTC.
 DATE_FORM = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}( ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\+00:00)?$"
 YEARS = (1450, 2026)
-CHUNKS = "file string, chunk int, col string, rows bigint, nulls bigint, low string, high string, load_low bigint, load_high bigint"
+HISTOGRAM = "tbl string, col string, load_id bigint, value string, n bigint, how string"
+PROFILE = "tbl string, col string, place int, kind string, rows bigint, nulls bigint, value string, low_i bigint, high_i bigint, low_d double, high_d double, how string"
 
 
 def valid_date(column) -> F.Column:
@@ -33,96 +41,168 @@ def in_range(date) -> F.Column:
     return F.year(date).between(*YEARS)
 
 
-def footer_chunks(spark: SparkSession, files: list[str], columns: list[str], load: str = "load_id") -> DataFrame:
-    """One row per chunk and column with what its footer states; nulls or extrema that are not stated are null."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        for batch in batches:
-            rows = []
-            for uri in batch["file"]:
-                system, path = fs.FileSystem.from_uri(uri)
-                with system.open_input_file(path) as handle:
-                    meta = pq.ParquetFile(handle).metadata
-                for g in range(meta.num_row_groups):
-                    group = meta.row_group(g)
-                    stats = {group.column(i).path_in_schema: group.column(i).statistics for i in range(group.num_columns)}
-                    bounds = stats.get(load)
-                    known = bounds is not None and bounds.has_min_max and bounds.has_null_count and bounds.null_count == 0
-                    for c in columns:
-                        s = stats.get(c)
-                        nulls = s.null_count if s is not None and s.has_null_count else None
-                        exact = s is not None and s.has_min_max and getattr(s, "is_min_value_exact", True) is not False and getattr(s, "is_max_value_exact", True) is not False
-                        low, high = (str(s.min), str(s.max)) if exact else (None, None)
-                        rows.append((uri, g, c, group.num_rows, nulls, low, high, bounds.min if known else None, bounds.max if known else None))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHUNKS.split(", ")]).astype({"nulls": "Int64", "load_low": "Int64", "load_high": "Int64", "rows": "int64", "chunk": "int32"})
-
-    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 200)))
-    return listed.mapInPandas(read, CHUNKS)
-
-
-def load_histogram(spark: SparkSession, path: str, column: str, load: str = "load_id") -> DataFrame:
-    """(load_id, value, n): how often each load has each exact value (as text; null is a value)."""
-    df = spark.read.parquet(path)
-    files = df.inputFiles()
-    chunks = footer_chunks(spark, files, [column], load)
-    sure = F.col("load_low").eqNullSafe(F.col("load_high")) & F.col("load_low").isNotNull() & ((F.col("nulls") == F.col("rows")) | ((F.col("nulls") == 0) & F.col("low").eqNullSafe(F.col("high")) & F.col("low").isNotNull()))
-    settled = [r.file for r in chunks.groupBy("file").agg(F.min(sure.cast("int")).alias("ok")).filter("ok = 1").collect()] if files else []
-    rest = [f for f in files if f not in set(settled)]
-    parts = []
-    if settled:
-        known = footer_chunks(spark, settled, [column], load)
-        value = F.when(F.col("nulls") == F.col("rows"), None).otherwise(F.lower("low") if dict(df.dtypes)[column] == "boolean" else F.col("low"))
-        parts.append(known.select(F.col("load_low").alias("load_id"), value.alias("value"), F.col("rows").alias("n")))
-    if rest or not files:
-        scanned = spark.read.schema(df.schema).parquet(*rest) if rest else df
-        parts.append(scanned.groupBy(F.col(load).cast("bigint").alias("load_id"), F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")))
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return both.groupBy("load_id", "value").agg(F.sum("n").alias("n")).filter("load_id is not null")
-
-
-def load_metrics(histogram: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    """(load_id, metric, value) from a histogram; a metric without rows to count is null and left out.
+def as_text(kind: str, value) -> str | None:
+    """A value as text; equal values have equal texts."""
+    return None if value is None else str(value).lower() if kind == "b" else str(value)
+
+
+def _counted(values, loads) -> Iterator[tuple[int | None, object, int]]:
+    """(load, value, n) of a scanned chunk; nulls are counted too."""
+    import pyarrow as pa
+
+    coded = values if pa.types.is_dictionary(values.type) else values.dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    at = coded.indices.fill_null(len(words)).to_numpy(zero_copy_only=False).astype(np.int64)
+    loads = loads.dictionary_encode()
+    known = loads.dictionary.to_pylist()
+    of = loads.indices.fill_null(len(known)).to_numpy(zero_copy_only=False).astype(np.int64)
+    cells, n = np.unique(of * (len(words) + 1) + at, return_counts=True)
+    for cell, count in zip(cells.tolist(), n.tolist(), strict=True):
+        load, value = divmod(cell, len(words) + 1)
+        yield known[load] if load < len(known) else None, words[value] if value < len(words) else None, count
+
+
+def chunk_histograms(spark: SparkSession, paths: dict[str, str], columns: dict[str, list[str]], load: str = "load_id") -> DataFrame:
+    """(tbl, col, load_id, value, n, how) for each row group: value counts by load, and whether a footer, a dictionary page
+    or a scan gave them.
+
+    Columns of a type that isn't profiled have no rows, nor has a file that lacks the column.
+    """
+
+    def each(tbl: str, chunk: Chunks) -> Iterator[tuple]:
+        loaded, the_load = chunk.constant(load) if load in chunk.place and chunk.nulls(load) == 0 else (False, None)
+        scanned = []
+        for c in columns[tbl]:
+            kind = chunk.kind(c)
+            if not kind or not chunk.rows:
+                continue
+            nulls = chunk.nulls(c)
+            one, value = chunk.constant(c)
+            how = "footer"
+            if loaded and nulls is not None and nulls < chunk.rows and not one:
+                held = chunk.distinct(c)
+                one, value, how = (True, held[0], "dictionary") if held is not None and len(held) == 1 and held[0] == held[0] else (False, None, "")
+            if loaded and nulls is not None and (one or nulls == chunk.rows):
+                if nulls:
+                    yield tbl, c, the_load, None, nulls, how
+                if nulls < chunk.rows:
+                    yield tbl, c, the_load, as_text(kind, value), chunk.rows - nulls, how
+            else:
+                scanned.append(c)
+        if scanned:
+            held = chunk.scan([*scanned, load])
+            for c in scanned:
+                kind = chunk.kind(c)
+                for at, value, n in _counted(held[c], held[load]):
+                    yield tbl, c, at, as_text(kind, value), n, "scan"
+
+    return over_chunks(spark, paths, each, HISTOGRAM)
+
+
+def load_histogram(spark: SparkSession, paths: dict[str, str], columns: dict[str, list[str]], load: str = "load_id") -> DataFrame:
+    """(tbl, col, load_id, value, n): how often each load has each exact value (as text; null is a value)."""
+    return chunk_histograms(spark, paths, columns, load).filter("load_id is not null").groupBy("tbl", "col", "load_id", "value").agg(F.sum("n").alias("n"))
+
+
+def chunk_profiles(spark: SparkSession, paths: dict[str, str], distinct: bool = True) -> DataFrame:
+    """Rows of a profile for each column chunk: one with its rows and nulls, one for each different value.
+
+    Without ``distinct`` the footers suffice for integers, dates and moments, and texts and floating-point numbers are
+    looked at as before, since their footers don't tell their extrema.
+    """
+
+    def each(tbl: str, chunk: Chunks) -> Iterator[tuple]:
+        names = [c for c in chunk.types if chunk.kind(c)]
+        held, how, scanned = {}, {}, []
+        for c in names:
+            kind, nulls = chunk.kind(c), chunk.nulls(c)
+            one, value = chunk.constant(c)
+            s = chunk.stated(c)
+            if nulls is not None and (nulls == chunk.rows or one):
+                held[c], how[c] = [] if nulls == chunk.rows else [value], "footer"
+            elif nulls is not None and not distinct and kind == "i" and s.has_min_max:
+                held[c], how[c] = list(chunk.bounds(c)), "footer"
+            elif nulls is not None and (values := chunk.distinct(c)) is not None:
+                held[c], how[c] = values, "dictionary"
+            else:
+                scanned.append(c)
+        if scanned:
+            for c, values in chunk.scan(scanned).items():
+                found = values.unique().drop_null().to_pylist() if not hasattr(values.type, "value_type") else values.dictionary_encode().dictionary.to_pylist()
+                held[c], how[c] = found, "scan"
+        for place, c in enumerate(names):
+            kind = chunk.kind(c)
+            nulls = chunk.nulls(c) if how[c] != "scan" else None
+            yield tbl, c, place, kind, chunk.rows, nulls if nulls is not None else values_missing(chunk, c), None, None, None, None, None, how[c]
+            for value in dict.fromkeys(held[c]):
+                number = value if kind == "i" else int(value) if kind == "b" else None
+                real = float(value) if kind == "d" and value == value else None
+                yield tbl, c, place, kind, 0, 0, as_text(kind, value), number, number, real, real, how[c]
+
+    def values_missing(chunk: Chunks, column: str) -> int:
+        known = chunk.nulls(column)
+        return known if known is not None else chunk.scan([column])[column].null_count
+
+    return over_chunks(spark, paths, each, PROFILE)
+
+
+def column_profile(spark: SparkSession, paths: dict[str, str], distinct: bool = True) -> DataFrame:
+    """(tbl, col, rows, nulls, null_rate, distinct_values, low, high) of every column of every table (name to path).
+
+    Texts are compared byte by byte.  Dates are days and moments microseconds since 1970.  NaN is a value but no extremum.
+    Nested, decimal and binary columns are left out, and so are tables without files.  A column without values has null
+    extrema.  ``distinct_values`` is null without ``distinct``.
+    """
+    found = chunk_profiles(spark, paths, distinct)
+    # values are reduced before they meet, each of a column in a group of its own; extrema of numbers need no texts
+    values = found.groupBy("tbl", "col", "value").agg(
+        F.min("place").alias("place"), F.min("kind").alias("kind"), F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"),
+        F.min("low_i").alias("low_i"), F.max("high_i").alias("high_i"), F.min("low_d").alias("low_d"), F.max("high_d").alias("high_d"),
+    )
+    per = values.groupBy("tbl", "col").agg(
+        F.min("kind").alias("kind"), F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.count("value").alias("d"), F.min("value").alias("low_s"), F.max("value").alias("high_s"),
+        F.min("low_i").alias("low_i"), F.max("high_i").alias("high_i"), F.min("low_d").alias("low_d"), F.max("high_d").alias("high_d"),
+    )
+    extreme = lambda e: F.when(F.col("kind") == "s", F.col(e + "_s")).when(F.col("kind") == "b", F.col(e + "_i").cast("boolean").cast("string")).when(F.col("kind") == "d", F.col(e + "_d").cast("string")).otherwise(F.col(e + "_i").cast("string")).alias(e)
+    rate = F.when(F.col("rows") > 0, F.round(F.col("nulls") / F.col("rows"), 6))
+    return per.select("tbl", "col", "rows", "nulls", rate.alias("null_rate"), (F.col("d") if distinct else F.lit(None).cast("bigint")).alias("distinct_values"), extreme("low"), extreme("high"))
+
+
+def load_metrics(histogram: DataFrame) -> DataFrame:
+    """(tbl, col, load_id, metric, value) of all metrics from a histogram; a metric without rows to count is left out.
 
     ``absent`` counts over all rows; ``true_share``, ``invalid`` and ``top_share`` over the rows that are not absent;
-    ``out_of_range`` over valid dates; ``new_share`` is left out for the first load.  Rows without a load are ignored.
+    ``out_of_range`` over valid dates; ``new_share`` is left out for the first load.
     """
-    absent = blank(F.col("value"))
-    day = valid_date("value")
-    h = histogram.withColumn("_absent", absent).withColumn("_day", day)
+    column = ["tbl", "col"]
+    h = histogram.withColumn("first_load", F.min("load_id").over(Window.partitionBy(*column, "value")))  # as many rows as loads
+    h = h.withColumn("_absent", blank(F.col("value"))).withColumn("_day", valid_date("value"))
     there = F.when(~F.col("_absent"), F.col("n"))
-    if "new_share" in metrics:
-        first = histogram.groupBy("value").agg(F.min("load_id").alias("first_load"))
-        h = h.join(first, h["value"].eqNullSafe(first["value"])).drop(first["value"])
-    else:
-        h = h.withColumn("first_load", F.lit(None).cast("bigint"))
-    per = h.groupBy("load_id").agg(
+    per = h.groupBy(*column, "load_id").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("_absent"), F.col("n"))).alias("n_absent"), F.sum(there).alias("n_there"), F.max(there).alias("n_top"),
         F.sum(F.when(~F.col("_absent") & F.col("_day").isNull(), F.col("n"))).alias("n_invalid"),
         F.sum(F.when(~F.col("_absent") & F.col("_day").isNotNull(), F.col("n"))).alias("n_valid"),
         F.sum(F.when(~F.col("_absent") & ~in_range(F.col("_day")), F.col("n"))).alias("n_out"),
         F.sum(F.when(F.col("value") == "true", F.col("n"))).alias("n_true"),
         F.sum(F.when(~F.col("_absent") & (F.col("first_load") == F.col("load_id")), F.col("n"))).alias("n_new"),
-    )
+    ).withColumn("start", F.min("load_id").over(Window.partitionBy(*column)))
     share = lambda a, b: F.coalesce(F.col(a), F.lit(0)) / F.when(F.col(b) > 0, F.col(b))
-    values = {"absent": share("n_absent", "n"), "invalid": share("n_invalid", "n_there"), "out_of_range": share("n_out", "n_valid"), "true_share": share("n_true", "n_there"), "top_share": share("n_top", "n_there"), "new_share": share("n_new", "n_there")}
-    if "new_share" in metrics:
-        start = histogram.agg(F.min("load_id").alias("_start"))
-        per = per.crossJoin(F.broadcast(start))  # one row
-        values["new_share"] = F.when(F.col("load_id") > F.col("_start"), values["new_share"])
-    row = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), values[m].alias("value")) for m in metrics])).alias("_m")
-    return per.select("load_id", row).select("load_id", "_m.metric", "_m.value").filter("value is not null")
+    values = {
+        "absent": share("n_absent", "n"), "invalid": share("n_invalid", "n_there"), "out_of_range": share("n_out", "n_valid"), "true_share": share("n_true", "n_there"),
+        "top_share": share("n_top", "n_there"), "new_share": F.when(F.col("load_id") > F.col("start"), share("n_new", "n_there")),
+    }
+    row = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()])).alias("_m")
+    return per.select(*column, "load_id", row).select(*column, "load_id", "_m.metric", "_m.value").filter("value is not null")
 
 
 def profile(spark: SparkSession, sources: list[tuple[str, str, str, tuple[str, ...]]]) -> DataFrame:
     """(tbl, col, load_id, metric, value) for each (tbl, path, column, metrics)."""
-    out = None
-    for tbl, path, column, metrics in sources:
-        part = load_metrics(load_histogram(spark, path, column), metrics).select(F.lit(tbl).alias("tbl"), F.lit(column).alias("col"), "load_id", "metric", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    paths = {tbl: path for tbl, path, _, _ in sources}
+    columns: dict[str, list[str]] = {}
+    for tbl, _, column, _ in sources:
+        columns.setdefault(tbl, []).append(column)
+    wanted = [f"(tbl = '{t}' and col = '{c}' and metric in ({', '.join(repr(m) for m in metrics)}))" for t, _, c, metrics in sources]
+    return load_metrics(load_histogram(spark, paths, columns)).filter(" or ".join(wanted))
 
 
 def departures(profiled: DataFrame, distance: float) -> DataFrame:

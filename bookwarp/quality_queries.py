@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookwarp.operators.orphans import orphan_references, orphan_report
-from bookwarp.operators.profile import departures, profile
+from bookwarp.operators.profile import column_profile, departures, profile
 from bookwarp.stage import table
 
 DEPARTURE = 0.155
@@ -44,7 +44,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return departures(found, DEPARTURE).select("tbl", "col", "load_id", "metric")
 
 
-QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_profile": p7_profile}
+EVERY_COLUMN = ("books", "authors", "books_authors_link", "identifiers", "metadata_candidates")
+
+
+def p7_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, nulls, distinct values and range of every flat column of the catalogue."""
+    return column_profile(spark, {t: f"{sf_dir}/{t}.parquet" for t in EVERY_COLUMN})
+
+
+QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_profile": p7_profile, "p7_columns": p7_columns}
 
 _ORPHANS = """
 WITH l AS (SELECT id, book, author, min(loaded_at) AS at FROM books_authors_link GROUP BY id, book, author),
@@ -82,7 +90,30 @@ p AS (
   SELECT tbl, col, load_id, 'new_share', n_new / n_there FROM m WHERE col = 'publisher' AND n_there > 0 AND load_id > start)
 """
 
+_TABLES = {
+    "books": "id:i title sort timestamp pubdate series_index:d author_sort path uuid has_cover:b last_modified load_id:i loaded_at:t",
+    "authors": "id:i name sort link load_id:i loaded_at:t",
+    "books_authors_link": "id:i book:i author:i load_id:i loaded_at:t",
+    "identifiers": "id:i book:i type val",
+    "metadata_candidates": "candidate_id:i source title isbn publisher description cover_url load_id:i fetched_at:t",
+}
+
+
+def _columns_sql() -> str:
+    parts = []
+    for tbl, columns in _TABLES.items():
+        for c in columns.split():
+            name, _, kind = c.partition(":")
+            value = f"epoch_us({name})" if kind == "t" else name
+            parts.append(
+                f"SELECT '{tbl}' AS tbl, '{name}' AS col, count(*) AS rows, count(*) FILTER ({name} IS NULL) AS nulls, round(count(*) FILTER ({name} IS NULL) / count(*), 6) AS null_rate, "
+                f"count(DISTINCT {name}) AS distinct_values, CAST(min({value}) AS VARCHAR) AS low, CAST(max({value}) AS VARCHAR) AS high FROM {tbl}"
+            )
+    return " UNION ALL ".join(parts)
+
+
 SQL = {
+    "p7_columns": _columns_sql(),
     "p6_found": _ORPHANS + "SELECT link_id, ref, kind FROM o",
     "p6_report": _ORPHANS + "SELECT ref, kind, strftime(o.at, '%Y-%m') AS period, count(*) AS n FROM o GROUP BY ALL",
     "p7_profile": _PROFILE + "SELECT tbl, col, load_id, metric, round(value, 6) AS value FROM p",

@@ -1,10 +1,12 @@
+import random
 from datetime import datetime as D
 
 import pytest
 from pyspark.sql import functions as F
 
 from bookwarp.operators import orphans
-from bookwarp.operators.profile import departures, footer_chunks, load_histogram, load_metrics
+from bookwarp.operators.profile import chunk_histograms, chunk_profiles, column_profile, departures, load_histogram, load_metrics
+from bookwarp.sources.chunks import dictionary_values, opened
 from bookwarp.streaming import references
 
 LINK = "id bigint, book bigint, author bigint, loaded_at timestamp, n int"
@@ -38,22 +40,91 @@ def test_signed_state_and_stream(spark, tmp_path):
     assert [r.key for r in orphans.orphan_keys(references.fold(delta(rows[:2]), str(tmp_path / "state"), 1)).collect()] == [7]
 
 
+def _day(load, *values):
+    return [(load, v) for v in values]
+
+
 def test_profile(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
-    day = lambda load, *values: [(load, v) for v in values]
+    write = lambda rows: spark.createDataFrame(rows, "load_id bigint, value string").coalesce(1).write.mode("append").parquet(path)
     # two settled files (one constant, one all null) and one that must be scanned
-    spark.createDataFrame(day(1, "2020-01-01", "2020-01-01"), "load_id bigint, value string").coalesce(1).write.mode("append").parquet(path)
-    spark.createDataFrame(day(2, None, None), "load_id bigint, value string").coalesce(1).write.mode("append").parquet(path)
-    spark.createDataFrame(day(3, "2020-02-30", " ", "1200-01-01 00:00:00+00:00", "2020-01-01", None) + day(None, "x"), "load_id bigint, value string").coalesce(1).write.mode("append").parquet(path)
-    chunks = footer_chunks(spark, spark.read.parquet(path).inputFiles(), ["value"]).collect()
-    assert sorted((c.rows, c.nulls) for c in chunks) == [(2, 0), (2, 2), (6, 1)]
-    h = load_histogram(spark, path, "value")
+    write(_day(1, "2020-01-01", "2020-01-01"))
+    write(_day(2, None, None))
+    write(_day(3, "2020-02-30", " ", "1200-01-01 00:00:00+00:00", "2020-01-01", None) + _day(None, "x"))
+    chunks = chunk_histograms(spark, {"t": path}, {"t": ["value"]}).groupBy("how").agg(F.sum("n").alias("n")).collect()
+    assert {c.how: c.n for c in chunks} == {"footer": 4, "scan": 6}
+    h = load_histogram(spark, {"t": path}, {"t": ["value"]})
     assert {(r.load_id, r.value): r.n for r in h.collect()}[1, "2020-01-01"] == 2
-    got = {(r.load_id, r.metric): round(r.value, 3) for r in load_metrics(h, ("absent", "invalid", "out_of_range", "top_share", "new_share")).collect()}
+    got = {(r.load_id, r.metric): round(r.value, 3) for r in load_metrics(h).collect()}
     assert got[2, "absent"] == 1 and got[3, "absent"] == 0.4 and got[3, "invalid"] == 0.333 and got[3, "out_of_range"] == 0.5 and got[3, "new_share"] == 0.667
     assert (2, "invalid") not in got and (1, "new_share") not in got
-    p = load_metrics(h, ("absent",)).withColumn("tbl", F.lit("t")).withColumn("col", F.lit("value"))
-    assert sorted(r.load_id for r in departures(p, 0.155).collect()) == [1, 2]
+    assert sorted(r.load_id for r in departures(load_metrics(h).filter("metric = 'absent'"), 0.155).collect()) == [1, 2]
     empty = str(tmp_path / "e.parquet")
     spark.createDataFrame([], "load_id bigint, value string").write.parquet(empty)
-    assert load_metrics(load_histogram(spark, empty, "value"), ("absent",)).count() == 0
+    assert load_metrics(load_histogram(spark, {"e": empty}, {"e": ["value", "load_id"]})).count() == 0
+
+
+def test_only_insufficient_chunks_are_scanned(spark, tmp_path):
+    """One file whose row groups need a footer, a dictionary page or a scan, each as little as possible."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    schema = pa.schema([("load_id", pa.int64()), ("value", pa.string()), ("n", pa.float64()), ("when", pa.timestamp("ms"))])
+    rng = random.Random(4)
+    long = "x" * 500
+    groups = [
+        _day(1, *["a"] * 50), _day(2, *[None] * 50), _day(3, *[long, None] * 25),
+        _day(4, *[rng.choice("bcd") for _ in range(50)]), _day(5, *["e"] * 25) + _day(6, *["f"] * 25),
+    ]
+    path = tmp_path / "t.parquet"
+    reals = [0.5, float("nan"), None, -2.0]
+    with pq.ParquetWriter(path, schema, write_statistics=["load_id", "value", "when"]) as writer:
+        for rows in groups:
+            columns = {"load_id": [r[0] for r in rows], "value": [r[1] for r in rows], "n": [reals[i % 4] for i in range(50)], "when": [1000 * r[0] for r in rows]}
+            writer.write_table(pa.table(columns, schema))
+    found = chunk_histograms(spark, {"t": str(path)}, {"t": ["value"]}).collect()
+    assert {(r.load_id, r.how) for r in found} == {(1, "footer"), (2, "footer"), (3, "footer"), (4, "scan"), (5, "scan"), (6, "scan")}
+    assert {(r.load_id, r.value): r.n for r in found if r.load_id < 4} == {(1, "a"): 50, (2, None): 50, (3, None): 25, (3, long): 25}
+    pieces = chunk_profiles(spark, {"t": str(path)}).filter("rows > 0").collect()
+    how = {c: sorted(r.how for r in pieces if r.col == c) for c in ("load_id", "value", "n", "when")}
+    assert how == {"load_id": ["dictionary"] + ["footer"] * 4, "value": ["dictionary"] * 2 + ["footer"] * 3, "n": ["scan"] * 5, "when": ["dictionary"] + ["footer"] * 4}
+    got = {r.col: r for r in column_profile(spark, {"t": str(path)}).collect()}
+    assert (got["value"].rows, got["value"].nulls, got["value"].distinct_values, got["value"].low, got["value"].high) == (250, 75, 7, "a", long)
+    assert (got["load_id"].distinct_values, got["load_id"].low, got["load_id"].high) == (6, "1", "6") and (got["when"].low, got["when"].high) == ("1000000", "6000000")
+    assert (got["n"].nulls, got["n"].distinct_values, float(got["n"].low), float(got["n"].high)) == (60, 3, -2.0, 0.5)
+    quick = {r.col: r for r in column_profile(spark, {"t": str(path)}, distinct=False).collect()}
+    assert quick["load_id"].distinct_values is None and (quick["load_id"].low, quick["load_id"].high) == ("1", "6")
+
+
+@pytest.mark.parametrize("options", [{"data_page_version": "1.0"}, {"data_page_version": "2.0", "compression": "zstd"}, {"use_dictionary": False}, {"dictionary_pagesize_limit": 200}, {"data_page_size": 64, "compression": "none"}])
+def test_dictionary_pages(tmp_path, options):
+    """The dictionary page gives exactly the values of a chunk, or nothing where some page of data went without it."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = random.Random(6)
+    texts = [rng.choice([None, "", "é", *map(str, range(100))]) for _ in range(3000)]
+    table = pa.table({"s": texts, "i": pa.array([rng.randrange(90) for _ in texts], pa.int32()), "d": [rng.randrange(9) / 4 for _ in texts]})
+    pq.write_table(table, tmp_path / "x.parquet", **options)
+    with opened(f"file:{tmp_path}/x.parquet") as handle:
+        group = pq.ParquetFile(handle).metadata.row_group(0)
+        for k, name in enumerate(table.column_names):
+            got = dictionary_values(handle, group.column(k))
+            if "use_dictionary" in options or ("dictionary_pagesize_limit" in options and name != "d"):
+                assert got is None
+            else:
+                assert sorted(got) == sorted(set(table[name].to_pylist()) - {None})
+
+
+def test_profile_of_awkward_tables(spark, tmp_path):
+    """Nested columns are left out; an empty table has columns without values; many files make one profile."""
+    path, none = str(tmp_path / "a.parquet"), str(tmp_path / "n.parquet")
+    rows = [(i, f"t{i % 7}" if i % 5 else None, [1], i % 2 == 0, D(2025, 1, 1 + i % 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, tbl string, xs array<int>, col boolean, at timestamp_ntz")
+    df.repartition(5).write.parquet(path)
+    df.limit(0).write.parquet(none)
+    got = {(r.tbl, r.col): (r.rows, r.nulls, r.distinct_values, r.low, r.high) for r in column_profile(spark, {"a": path, "n": none}).collect()}
+    micros = [int(D(2025, 1, d).timestamp()) for d in (1, 9)]
+    assert got["a", "id"] == (500, 0, 500, "0", "499") and got["a", "tbl"] == (500, 100, 7, "t0", "t6") and got["a", "col"] == (500, 0, 2, "false", "true") and ("a", "xs") not in got
+    assert got["a", "at"][:3] == (500, 0, 9) and int(got["a", "at"][4]) - int(got["a", "at"][3]) == (micros[1] - micros[0]) * 1_000_000
+    assert all(v == (0, 0, 0, None, None) for (t, _), v in got.items() if t == "n")
