@@ -301,6 +301,28 @@ def test_vectors_are_trained():
     assert nearer(matching.skip_gram(walks, np.random.default_rng(3))) > 0.3 > 0.15 > abs(nearer(start))
 
 
+def test_regression_settles():
+    """Counts that a full step overshoots: hits only where rarity is high, nearly none elsewhere."""
+    rarity = np.array([7.0, 7.5, 8.0, 12.0, 13.0, 20.0])
+    n, m = np.array([3e4, 4e5, 3e4, 30.0, 20.0, 5.0]), np.array([1e2, 1.5e3, 9e1, 28.0, 20.0, 5.0])
+    x = matching.features(np.ones(6), rarity)
+    w = matching.fitted(x, n, m, np.array([-2.0, 0.0, 0.0]))
+    p = 1 / (1 + np.exp(-x @ w))
+    assert np.abs(w).max() < 20 and (p[:3] < 0.05).all() and (p[3:] > 0.5).all()
+    assert matching.fitted(x[:0], n[:0], m[:0], np.array([-2.0, 0.0, 0.0])).tolist() == [-2.0, 0.0, 0.0]
+
+
+def test_pieces_meet():
+    """Words one edit apart, one of more than three letters, share a piece."""
+    rng = random.Random(7)
+    for _ in range(20_000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(3, 15)))
+        i, kind = rng.randrange(len(a)), rng.randrange(4)
+        b = [a[:i] + a[i + 1 :], a[:i] + rng.choice("abc") + a[i:], a[:i] + rng.choice("abc") + a[i + 1 :], a[:i] + a[i : i + 2][::-1] + a[i + 2 :]][kind]
+        if max(len(a), len(b)) > 3 and min(len(a), len(b)) > 2:
+            assert matching.one_edit(a, b) and matching.pieces(a) & matching.pieces(b), (a, b)
+
+
 def test_isbns_need_their_check_digit():
     clean = matching.clean_isbn
     assert clean("ISBN-13: 978-0-306-40615-7 (pbk)") == "9780306406157" and clean("0-306-40615-2") == "0306406152" and clean("080442957x") == "080442957X"
@@ -365,6 +387,39 @@ def test_names(spark):
     assert names.linked_authors(authors.limit(0)).count() == 0
 
 
+def test_legal_forms_and_whole_words(spark):
+    """Companies with and without their legal form are one; words that only begin alike are two."""
+    alike = [
+        ["Acme Publishing Ltd", "Acme Publishing Limited", "Acme Publishing", "ACME PUBLISHING, INC.", "Publishing, Acme (LLC)", "The Acme Publishing Co."],
+        ["Brokavist Institute of Ecology", "Brokavist Institute of Ecology, Inc.", "Brokavist Inst. for Ecology", "Institute of Ecology, Brokavist", "Brokavist Institute of Ecologgy"],
+        ["Brokavist Institute of Economics", "Brokavist Institute of Economics GmbH"], ["Müller Verlag", "Müller Verlag GmbH & Co. KG", "Muller Verlag G.m.b.H."],
+        ["Dupont Editions", "Dupont Editions S.A.R.L.", "Éditions Dupont SA", "Dupont Editions, société anonyme"], ["Popular Science Society", "Popular Sci. Soc.", "Pop. Sci. Society"],
+        ["Robert Tekradolund"], ["Helen Press"], ["King, S. A."], ["John Co"],
+    ]
+    rows = [(100 * g + k, n) for g, ns in enumerate(alike) for k, n in enumerate(ns)]
+    authors = spark.createDataFrame(rows, "id bigint, name string")
+    got = {tuple(r) for r in names.linked_authors(authors).collect()}
+    assert got == {(a, b) for a, _ in rows for b, _ in rows if a < b and a // 100 == b // 100}
+
+
+def test_groups_have_a_score(spark):
+    """An abbreviated name that may be two persons' is in a group of its own, with half the score."""
+    base = [f"{g} {s}" for g in ("Robert", "Ruth", "Clara", "Adam", "Julia", "John") for s in ("Hokestavist", "Burkalograd", "Vonasimark", "Pretokivist", "Mivororasen")]
+    rows = [*enumerate(base), (100, "R. Hokestavist"), (101, "C. Hokestavist"), (102, "Hokestavist, R.")]
+    got = {r.id: (r.person, r.score) for r in names.name_groups(spark.createDataFrame(rows, "id bigint, name string")).collect()}
+    assert got.keys() == {i for i, _ in rows} and got[100] == got[102] and got[100][1] == 0.5
+    assert got[101] == got[10] and got[10][1] == 1.0 and got[100][0] not in {got[i][0] for i in range(len(base))}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_words(spark, seed):
+    rng = random.Random(seed)
+    words_ = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 6))) for _ in range(150)})
+    df = spark.createDataFrame([(w, 1) for w in words_], "word string, n bigint")
+    got = {(r.word, r.other) for r in names.near_words(df).collect()}
+    assert got == {(a, b) for a in words_ for b in words_ if a != b and names.one_edit(a, b)}
+
+
 def test_one_edit():
     def apart(a, b):
         near = {a} | {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
