@@ -26,18 +26,71 @@ def test_orphans(spark):
         orphans.orphan_references(links, {})
 
 
-def test_signed_state_and_stream(spark, tmp_path):
+def test_signed_state(spark):
     rows = [(7, 1, 0), (7, 1, 0), (8, 1, 0), (8, 0, 1), (7, -1, 0)]
     delta = lambda part: spark.createDataFrame(part, "key bigint, refs bigint, existing bigint").withColumn("ref_at", F.lit(None).cast("timestamp")).withColumn("seen_at", F.lit(None).cast("timestamp"))
     assert [r.key for r in orphans.orphan_keys(orphans.merge_state(delta(rows[:2]), delta(rows[2:]))).collect()] == [7]
-    for n, part in enumerate((rows[:3], rows[3:], [(7, -1, 0)])):
-        (delta(part)).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
-    stream = spark.readStream.schema(delta(rows).schema).parquet(str(tmp_path / "in" / "*"))
-    references.maintain(stream, str(tmp_path / "state"), str(tmp_path / "ckpt")).awaitTermination(60)
-    assert references.current_orphans(spark, str(tmp_path / "state"), 0).count() == 0
-    state = references.fold(delta(rows[:2]), str(tmp_path / "state"), 1)
-    assert [r.key for r in orphans.orphan_keys(state).collect()] == [7]
-    assert [r.key for r in orphans.orphan_keys(references.fold(delta(rows[:2]), str(tmp_path / "state"), 1)).collect()] == [7]
+
+
+EVENT = "event string, key bigint, at timestamp, refs bigint, existing bigint"
+
+
+def test_stream_equals_a_recount(spark, tmp_path):
+    """Random appearances, retractions and repetitions in ten batches, some run twice, against a recount of all events."""
+    rng = random.Random(5)
+    t = lambda k: D(2025, 1, 1, 0, k)
+    made, live, batches = [], [], []
+    for n in range(10):
+        batch = []
+        for _ in range(25):
+            if live and rng.random() < 0.3:  # a row disappears, with the moment at which it had come
+                key, at, refs, existing = live.pop(rng.randrange(len(live)))
+                batch.append((f"e{len(made)}", key, at, -refs, -existing))
+            else:
+                kind = rng.random() < 0.7
+                row = (rng.randrange(12), t(rng.randrange(50)), int(kind), int(not kind))
+                live.append(row)
+                batch.append((f"e{len(made)}", *row))
+            made.append(batch[-1])
+        batches.append(batch + rng.sample(made, 6) + ([(None, None, t(1), 1, 0)] if n == 3 else []))  # sent again, and a null key
+    folder = str(tmp_path / "state")
+    for n, batch in enumerate(batches):
+        for _ in range(2 if n in (0, 4, 9) else 1):  # as after a failure
+            state = references.fold(spark.createDataFrame(batch, EVENT), folder, n, parts=5)
+        known = [e for e in made if e in {x for b in batches[: n + 1] for x in b}]
+        if n in (0, 5, 9):
+            got = {r.key: (r.refs, r.existing, r.ref_at, r.seen_at) for r in references.keys(state).collect()}
+            count = lambda k, i: sum(e[i] for e in known if e[1] == k)
+            def first(k, i):  # noqa: E306
+                moments = sorted({e[2] for e in known if e[1] == k})
+                return next((m for m in moments if sum(e[i] for e in known if e[1] == k and e[2] == m) > 0), None)
+            want = {k: (count(k, 3), count(k, 4), first(k, 3), first(k, 4)) for k in {e[1] for e in known}}
+            assert {k: v for k, v in want.items() if v[:2] != (0, 0) or v[2:] != (None, None)} == got
+            assert {r.key for r in references.current_orphans(spark, folder, n).collect()} == {k for k, v in want.items() if v[0] > 0 and v[1] <= 0}
+
+
+def test_stream_writes_touched_parts_only(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    made = spark.range(200).select(F.col("id").cast("string").alias("event"), F.col("id").alias("key"), F.lit(D(2025, 1, 1)).alias("at"), F.lit(1).cast("bigint").alias("refs"), F.lit(0).cast("bigint").alias("existing"))
+    references.fold(made, folder, 0, parts=16)
+    references.fold(made.filter("key = 3").withColumn("event", F.lit("gone")).withColumn("refs", F.lit(-1).cast("bigint")), folder, 1, parts=16)
+    assert len(list((tmp_path / "state/state/batch=000000000001").glob("part=*"))) == 1
+    assert references.current_orphans(spark, folder, 1).count() == 199
+    for n in range(2, 6):
+        references.fold(made.limit(0), folder, n, parts=16)
+    assert references.current_orphans(spark, folder, 5).count() == 199
+    assert sorted(p.name for p in (tmp_path / "state/manifest").iterdir()) == [f"batch={n:012d}" for n in (3, 4, 5)]
+    assert len(list((tmp_path / "state/state/batch=000000000000").glob("part=*"))) == 15
+
+
+def test_stream(spark, tmp_path):
+    made = spark.createDataFrame([("a", 7, D(2025, 1, 1), 1, 0), ("b", 8, D(2025, 1, 1), 1, 0), ("c", 8, D(2025, 1, 2), 0, 1), ("a", 7, D(2025, 1, 1), 1, 0), ("d", 9, D(2025, 1, 2), 1, 0)], EVENT)
+    made.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(made.schema).parquet(str(tmp_path / "in"))
+    references.maintain(stream, str(tmp_path / "state"), str(tmp_path / "ckpt")).awaitTermination(120)
+    assert sorted((r.key, r.refs) for r in references.current_orphans(spark, str(tmp_path / "state"), 0).collect()) == [(7, 1), (9, 1)]
+    links = spark.createDataFrame([(1, 7, 1, D(2025, 1, 3)), (2, None, -1, D(2025, 1, 3))], "id bigint, book bigint, s int, loaded_at timestamp")
+    assert [tuple(r) for r in references.events(links, "id", "book", "loaded_at", refs=1, sign="s").collect()] == [("1", 7, D(2025, 1, 3), 1, 0)]
 
 
 def _day(load, *values):
