@@ -6,8 +6,8 @@ few edits apart then agree in most places, so hashing a few sampled places, repe
 that the number of repetitions raises to the target recall.  What meets is verified exactly: a dynamic programme over
 words finds a stretch of at least twelve successive passage words within the allowed share of changed words.
 
-The evaluation items are a stated query set: they are taken in blocks of a bounded size, and each block goes to the tasks
-in their closure, so the documents are read once per block and nothing is shuffled.  A word that is in no passage of the
+The evaluation items are a stated query set: they are taken in blocks of a bounded size, and the index of each block goes
+to every executor once, so the documents are read once per block and nothing is shuffled.  A word that is in no passage of the
 block equals no passage word, and a window in which fewer than ``KNOWN`` words are in passages can't be within reach, so
 it isn't embedded; both steps lose nothing.
 """
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from bookwarp.llm.words import spread, words
 
@@ -51,13 +52,13 @@ def passages(texts: list[str], instructions: frozenset[str]) -> list[list[str]]:
     return out
 
 
-def instruction_lines(texts: list[str]) -> frozenset[str]:
-    """First sentences that open items with different continuations."""
-    rest: dict[str, set[str]] = {}
-    for text in texts:
-        first, _, more = (text or "").strip().partition(" ") if not SENTENCE.search(text or "") else (*SENTENCE.split((text or "").strip(), maxsplit=1)[:1], "", SENTENCE.split((text or "").strip(), maxsplit=1)[1])
-        rest.setdefault(first, set()).add(more)
-    return frozenset(s for s, m in rest.items() if len(m) > 1)
+def opening(text: str | None) -> tuple[str, str]:
+    """(first sentence, rest); of a text of one sentence its first word."""
+    text = (text or "").strip()
+    parts = SENTENCE.split(text, maxsplit=1)
+    if len(parts) == 1:
+        parts = [*text.split(" ", 1), ""][:2]
+    return parts[0], parts[1]
 
 
 class Index:
@@ -185,6 +186,30 @@ def stretch(passage: np.ndarray, region: np.ndarray, window: int = WINDOW, chang
     return False
 
 
+def repeated_openings(items: DataFrame) -> frozenset[str]:
+    """The instruction lines of all items: first sentences with different continuations, of which there are few."""
+
+    @F.pandas_udf("first string, more string")
+    def parts(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([opening(t) for t in texts], columns=["first", "more"])
+
+    split = items.select(parts("text").alias("p")).select("p.first", F.xxhash64("p.more").alias("more")).distinct()
+    return frozenset(r["first"] for r in split.groupBy("first").agg(F.count("*").alias("n")).filter("n > 1").select("first").toLocalIterator())
+
+
+def blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
+    """The items (item_id, text), so many at a time; one empty block if there are none."""
+    part: list[tuple[int, str]] = []
+    more = False
+    for r in items.toLocalIterator():
+        part.append((r.item_id, r.text))
+        if len(part) == size:
+            yield part
+            part, more = [], True
+    if part or not more:
+        yield part
+
+
 def leaks(documents: DataFrame, items: DataFrame, repeats: int = REPEATS, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id): documents that contain a stretch of the passage of an item.
 
@@ -195,19 +220,17 @@ def leaks(documents: DataFrame, items: DataFrame, repeats: int = REPEATS, block:
     spark = documents.sparkSession
     rows = items.select("item_id", "text").filter("item_id is not null and text is not null")
     out = None
-    asked = [(r.item_id, r.text) for r in rows.toLocalIterator()]  # the stated query set, a block at a time in what follows
-    lines = instruction_lines([t for _, t in asked])
+    lines = repeated_openings(rows)
     docs = spread(documents.select("doc_id", "text").filter("text is not null"))
-    for low in range(0, max(1, len(asked)), block):
-        part = asked[low : low + block]
+    for part in blocks(rows, block):  # the stated query set; one block at a time is held here
         same: dict[tuple[str, ...], list[int]] = {}
         for (i, _), p in zip(part, passages([t for _, t in part], lines), strict=True):
             same.setdefault(tuple(p), []).append(i)
-        distinct = [list(p) for p in same]
-        owners = list(same.values())
+        # built once; a block has a bounded number of items, and an executor holds one copy
+        shared = spark.sparkContext.broadcast((Index([list(p) for p in same], repeats), list(same.values())))
 
-        def find(batches: Iterator[pd.DataFrame], distinct=distinct, owners=owners) -> Iterator[pd.DataFrame]:
-            index = Index(distinct, repeats)
+        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            index, owners = shared.value
             for batch in batches:
                 found = [(d, i) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for k in index.leaks(t) for i in owners[k]]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id"], dtype="int64")

@@ -5,7 +5,8 @@ capacity is cut into full pieces, which fill a container each, and a rest; every
 the whole documents are dealt out to shards by hash and packed there one by one: each goes into the open container, or a
 new one, after which the sum over all gaps of the squared number of open containers with that gap is smallest.  A shard
 has a bounded number of items.  Containers that a shard leaves with a gap of more than ``LOOSE`` of the capacity are
-items of the next round, in which containers of different shards are joined, until one shard holds all that is left.
+items of the next round, in which containers of different shards are joined, until one shard holds all that is left or a
+round leaves hardly fewer loose containers than the one before.
 """
 
 from __future__ import annotations
@@ -26,7 +27,12 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD = 20_000
 LOOSE = 0.02
-ROUNDS = 4
+#: Rounds end when the loose containers of a round are less than so much fewer than those of the round before.
+LESS = 0.05
+#: Capacities that one projection puts beside every document.
+TARGETS = 100
+#: Targets up to which a table with one row for each is broadcast.
+MANY = 100_000
 
 
 def token_counts(documents: DataFrame, vocabulary: str = TOKENIZER) -> DataFrame:
@@ -73,7 +79,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _pack_round(items: DataFrame, number: int, shards: DataFrame) -> DataFrame:
+def _pack_round(items: DataFrame, number: int, shards: DataFrame, few: bool) -> DataFrame:
     """Items (target_id, capacity_tokens, item, size) with their container of this round and its fill."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -84,7 +90,7 @@ def _pack_round(items: DataFrame, number: int, shards: DataFrame) -> DataFrame:
         return pd.DataFrame({"target_id": pdf["target_id"], "capacity_tokens": pdf["capacity_tokens"], "item": pdf["item"], "container": [f"r{number}-{shard}-{c}" for c in local], "fill": fill[local].astype(np.int64)})
 
     order = F.xxhash64("item", F.lit(number))
-    dealt = items.join(F.broadcast(shards), "target_id").withColumn("order", order).withColumn("shard", F.pmod("order", "shards"))  # one row per target
+    dealt = items.join(F.broadcast(shards) if few else shards, "target_id").withColumn("order", order).withColumn("shard", F.pmod("order", "shards"))  # one row per target
     return dealt.groupBy("target_id", "shard").applyInPandas(pack, "target_id bigint, capacity_tokens bigint, item string, container string, fill bigint")
 
 
@@ -100,23 +106,32 @@ def pack(documents: DataFrame, targets: DataFrame, vocabulary: str = TOKENIZER)
     """
     wanted = targets.filter("target_id is not null and capacity_tokens >= 1").groupBy("target_id").agg(F.max("capacity_tokens").alias("capacity_tokens"))
     counts = cut(token_counts(documents, vocabulary).filter("n > 0"))
-    # few targets, each against all documents: the statement of the problem, not a join of pairs
-    each = counts.join(F.broadcast(wanted)).withColumn("full", F.floor(F.col("n") / F.col("capacity_tokens"))).withColumn("rest", F.col("n") % F.col("capacity_tokens"))
+    # every target against all documents is the statement of the problem; targets are literals, a bounded number at a time
+    known = [(r.target_id, r.capacity_tokens) for r in wanted.orderBy("target_id").toLocalIterator()]
+    each = None
+    for low in range(0, max(1, len(known)), TARGETS):
+        beside = F.array(*[F.struct(F.lit(t).cast("bigint").alias("target_id"), F.lit(c).cast("bigint").alias("capacity_tokens")) for t, c in known[low : low + TARGETS]])
+        part = counts.select("doc_id", "n", F.explode(beside).alias("_t")).select("doc_id", "n", "_t.*") if known else counts.select("doc_id", "n", F.lit(0).cast("bigint").alias("target_id"), F.lit(1).cast("bigint").alias("capacity_tokens")).limit(0)
+        each = part if each is None else each.unionByName(part)
+    each = each.withColumn("full", F.floor(F.col("n") / F.col("capacity_tokens"))).withColumn("rest", F.col("n") % F.col("capacity_tokens"))
     full = each.filter("full > 0").select("target_id", "doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece"), F.col("capacity_tokens").alias("tokens"))
     full = full.select("target_id", F.concat_ws("-", F.lit("f"), "doc_id", "piece").alias("container_id"), "doc_id", F.col("piece").cast("int").alias("piece"), "tokens")
     rests = cut(each.filter("rest > 0").select("target_id", "capacity_tokens", "doc_id", F.col("full").cast("int").alias("piece"), F.col("rest").alias("tokens"), F.col("doc_id").cast("string").alias("item")))
     items = rests.select("target_id", "capacity_tokens", "item", F.col("tokens").alias("size"))
     placed = rests.select("target_id", "doc_id", "piece", "tokens", F.col("item").alias("container"))
-    settled = None
-    for number in range(1, ROUNDS + 1):
+    settled, before, number = None, None, 0
+    while True:
+        number += 1
         shards = cut(_shards(items))
         most = shards.agg(F.max("shards")).first()[0]
         if most is None:
             break
-        packed = cut(_pack_round(items, number, shards))
+        packed = cut(_pack_round(items, number, shards, len(known) <= MANY))
         placed = placed.join(packed.select("target_id", F.col("item").alias("container"), F.col("container").alias("into"), "fill", "capacity_tokens"), ["target_id", "container"])
         placed = cut(placed.select("target_id", "doc_id", "piece", "tokens", F.col("into").alias("container"), "fill", "capacity_tokens"))
-        last = most <= 1 or number == ROUNDS
+        loose_now = packed.filter((F.col("capacity_tokens") - F.col("fill")) > LOOSE * F.col("capacity_tokens")).select("target_id", "container").distinct().count()
+        last = most <= 1 or not loose_now or (before is not None and loose_now > (1 - LESS) * before)
+        before = loose_now
         loose = F.lit(False) if last else (F.col("capacity_tokens") - F.col("fill")) > LOOSE * F.col("capacity_tokens")
         done = placed.filter(~loose).select("target_id", F.col("container").alias("container_id"), "doc_id", "piece", "tokens")
         settled = done if settled is None else settled.unionByName(done)

@@ -69,14 +69,31 @@ def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": np.array([language(s) for s in split], dtype=np.int32), "words": ["\n".join(" ".join(s) for s in d) for d in split]})
 
 
-def _vectors(ids: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
-    """Weighted rows of unit length, one per document."""
-    x = np.zeros((len(ids), len(weights)), dtype=np.float32)
-    for i, terms in enumerate(ids):
-        if len(terms):
-            term, n = np.unique(terms, return_counts=True)
-            x[i, term] = (1 + np.log(n)) * weights[term]
-    return _unit(x)
+class Rows:
+    """Weighted sparse rows of unit length, one per document, as (row, term, weight) in the order of rows."""
+
+    def __init__(self, ids: list[np.ndarray], weights: np.ndarray):
+        self.number, v = len(ids), max(1, len(weights))
+        flat = np.concatenate([np.asarray(i, dtype=np.int64) for i in ids] or [np.zeros(0, dtype=np.int64)])
+        cells, n = np.unique(np.repeat(np.arange(len(ids)), [len(i) for i in ids]) * v + flat, return_counts=True)
+        self.row, self.term = np.divmod(cells, v)
+        w = (1 + np.log(n)) * weights[self.term]
+        size = np.sqrt(np.bincount(self.row, weights=w * w, minlength=self.number))
+        self.weight = (w / np.maximum(size, 1e-9)[self.row]).astype(np.float32)
+
+    def times(self, matrix: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.number, matrix.shape[1]), dtype=np.float32)
+        if len(self.row):
+            filled, first = np.unique(self.row, return_index=True)
+            out[filled] = np.add.reduceat(self.weight[:, None] * matrix[self.term], first, axis=0)
+        return out
+
+    def add_transposed(self, matrix: np.ndarray, sums: np.ndarray) -> None:
+        """Adds the transposed rows times a matrix (a row per document) to ``sums``."""
+        if len(self.row):
+            order = np.argsort(self.term, kind="stable")
+            terms, first = np.unique(self.term[order], return_index=True)
+            sums[terms] += np.add.reduceat(self.weight[order, None] * matrix[self.row[order]], first, axis=0)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -92,9 +109,10 @@ def _add_up(parts: DataFrame) -> dict[int, np.ndarray]:
             for b, data in zip(batch["block"], batch["data"], strict=True):
                 x = np.frombuffer(data, dtype=np.float64)
                 sums[b] = sums[b] + x if b in sums else x.copy()
-        yield pd.DataFrame({"block": list(sums), "data": [s.tobytes() for s in sums.values()]}).astype({"block": "int32"})
+        yield pd.DataFrame({"block": pd.Series(list(sums), dtype="int32"), "data": pd.Series([s.tobytes() for s in sums.values()], dtype=object)})
 
-    summed = parts.repartition(8, "block").mapInPandas(total, "block int, data binary")
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = parts.repartition(tasks, "block").mapInPandas(total, "block int, data binary")
     return {r.block: np.frombuffer(r.data, dtype=np.float64) for r in summed.collect()}
 
 
@@ -105,15 +123,18 @@ def _singular(encoded: DataFrame, weights: np.ndarray, dimensions: int, passes:
         return np.zeros((0, 1))
     k = min(dimensions, v)
     basis = np.linalg.qr(np.random.default_rng(7).normal(size=(v, k)))[0]
+    context = encoded.sparkSession.sparkContext
     for _ in range(passes):
+        shared = context.broadcast((basis.astype(np.float32), weights))  # one copy an executor
 
-        def partial(batches: Iterator[pd.DataFrame], basis=basis.astype(np.float32)) -> Iterator[pd.DataFrame]:
-            y = np.zeros((v, k))
+        def partial(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            basis, weights = shared.value
+            y = np.zeros((v, k), dtype=np.float32)
             for batch in batches:
                 for low in range(0, len(batch), 256):
-                    x = _vectors([np.asarray(i) for i in batch["ids"].iloc[low : low + 256]], weights)
-                    y += x.T @ (x @ basis)
-            yield pd.DataFrame({"block": list(range((v + BLOCK - 1) // BLOCK)), "data": [y[b : b + BLOCK].tobytes() for b in range(0, v, BLOCK)]}).astype({"block": "int32"})
+                    x = Rows(list(batch["ids"].iloc[low : low + 256]), weights)
+                    x.add_transposed(x.times(basis), y)
+            yield pd.DataFrame({"block": list(range((v + BLOCK - 1) // BLOCK)), "data": [y[b : b + BLOCK].astype(np.float64).tobytes() for b in range(0, v, BLOCK)]}).astype({"block": "int32"})
 
         sums = _add_up(encoded.select("ids").mapInPandas(partial, "block int, data binary"))
         y = np.concatenate([sums[b].reshape(-1, k) for b in sorted(sums)])
@@ -215,11 +236,13 @@ def fit(documents: DataFrame, areas: DataFrame, sample: DataFrame, dimensions: i
     basis = _singular(encoded, weights, dimensions, PASSES).astype(np.float32)
     k, languages, number = basis.shape[1], len(LANGUAGES), {s: i for i, s in enumerate(subjects)}
     shape = (len(subjects), languages, k)
+    shared = spark.sparkContext.broadcast((basis, weights))  # one copy an executor
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(shape)
         for batch in batches:
-            x = _vectors([np.asarray(i) for i in batch["ids"]], weights) @ basis
+            basis, weights = shared.value
+            x = Rows(list(batch["ids"]), weights).times(basis)
             np.add.at(sums, ([number[s] for s in batch["subject"]], batch["lang"]), _unit(x))
         yield pd.DataFrame({"block": [0], "data": [sums.tobytes()]}).astype({"block": "int32"})
 
@@ -229,16 +252,17 @@ def fit(documents: DataFrame, areas: DataFrame, sample: DataFrame, dimensions: i
     for s, text in about.items():  # subjects that the sample doesn't show start from their description
         if not seed[number[s]].any():
             coded = np.array([place[w] for part in sentences(text) for w in part if w in place], dtype=np.int64)
-            seed[number[s], 0] += (_vectors([coded], weights) @ basis)[0]
+            seed[number[s], 0] += Rows([coded], weights).times(basis)[0]
     centroids = seed
     for _ in range(REFINEMENTS):
 
         def refine(batches: Iterator[pd.DataFrame], centres=_unit(centroids).reshape(-1, k).astype(np.float32)) -> Iterator[pd.DataFrame]:
             sums, won = np.zeros(shape), np.zeros(len(subjects))
+            basis, weights = shared.value
             for batch in batches:
                 for low in range(0, len(batch), 256):
                     part = batch.iloc[low : low + 256]
-                    x = _unit(_vectors([np.asarray(i) for i in part["ids"]], weights) @ basis)
+                    x = _unit(Rows(list(part["ids"]), weights).times(basis))
                     near = (x @ centres.T).reshape(len(x), *shape[:2]).max(axis=2)
                     order = np.sort(near, axis=1)
                     second = order[:, -2] if near.shape[1] > 1 else np.zeros(len(x))
@@ -265,9 +289,11 @@ def assign(documents: DataFrame, areas: DataFrame, sample: DataFrame, dimensions
     fitted = fit(documents, areas, sample, dimensions)
     if fitted is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string")
-    encoded, model = fitted
+    encoded, fitted_model = fitted
+    shared = documents.sparkSession.sparkContext.broadcast(fitted_model)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
         for batch in batches:
             rows = [(d, model.subjects[s]) for d, ids, ends in zip(batch["doc_id"], batch["ids"], batch["ends"], strict=True) for s in model.decide(np.asarray(ids), np.asarray(ends))]
             yield pd.DataFrame({"doc_id": pd.array([d for d, _ in rows], dtype="Int64"), "subject": [s for _, s in rows]})

@@ -11,10 +11,23 @@ from pyspark.sql import DataFrame
 MARKUP = re.compile(r"<[^<>]{1,400}>")
 BREAK_HYPHEN = re.compile(r"(?<=\w)[-‐‑­]\s*\n\s*(?=\w)")
 INNER_HYPHEN = re.compile(r"(?<=\w)[-‐‑­'’`´](?=\w)")
+INNER = re.compile(r"[-‐‑­'’`´]")
 WORD = re.compile(r"[^\W_]+")
 SIGNS_OF_BREAKAGE = re.compile("[ÃÂâÄÅ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 
 
+class _Seen(dict):
+    """For translation: what has a look of its own stays, marks and invisible signs go."""
+
+    def __missing__(self, n: int) -> int | None:
+        c = chr(n)
+        self[n] = None if unicodedata.combining(c) or unicodedata.category(c) == "Cf" else n
+        return self[n]
+
+
+SEEN = _Seen()
+
+
 def mended(text: str) -> str:
     """Undoes one wrong decoding of UTF-8 as an 8-bit code page, where the text shows signs of it and it can be undone."""
     if not text.isascii() and SIGNS_OF_BREAKAGE.search(text):
@@ -33,15 +46,17 @@ def bare(text: str) -> str:
         text = MARKUP.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-    text = BREAK_HYPHEN.sub("", text)
+    if "\n" in text:
+        text = BREAK_HYPHEN.sub("", text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        text = unicodedata.normalize("NFKD", text).translate(SEEN)
     return text.lower()
 
 
 def words(text: str) -> list[str]:
     """The words of a text; hyphens and apostrophes inside a word are dropped."""
-    return WORD.findall(INNER_HYPHEN.sub("", bare(text)))
+    text = bare(text)
+    return WORD.findall(INNER_HYPHEN.sub("", text) if INNER.search(text) else text)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -600,3 +600,26 @@ def test_subjects(spark):
     seeded = subjects.assign(frame, areas, sample.limit(0))
     assert seeded.select("doc_id").distinct().count() == len(got)
     assert subjects.assign(frame.limit(0), areas, sample).count() == 0 and subjects.assign(frame, areas.limit(0), sample.limit(0)).count() == 0
+
+
+def test_sparse_rows_against_dense():
+    rng = np.random.default_rng(4)
+    weights = rng.random(40).astype(np.float32)
+    ids = [rng.integers(0, 40, rng.integers(0, 30)) for _ in range(25)] + [np.array([], dtype=int)]
+    dense = np.zeros((len(ids), 40))
+    for i, terms in enumerate(ids):
+        term, n = np.unique(terms, return_counts=True)
+        dense[i, term] = (1 + np.log(n)) * weights[term]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    rows, basis, sums = subjects.Rows(ids, weights), rng.normal(size=(40, 5)), np.zeros((40, 5))
+    assert np.allclose(rows.times(basis), dense @ basis, atol=1e-5)
+    rows.add_transposed(dense @ basis, sums)
+    assert np.allclose(sums, dense.T @ dense @ basis, atol=1e-4)
+    assert subjects.Rows([], weights).times(basis).shape == (0, 5)
+
+
+def test_openings_are_those_of_all_items(spark):
+    texts = ["Read this. The mill stood.", "Read this. The clock ran.", "Once only. The clock ran.", "one two", "one three", None, ""]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string").filter("text is not null")
+    assert leakage.repeated_openings(items) == {"Read this.", "one"}
+    assert [len(b) for b in leakage.blocks(items, 2)] == [2, 2, 2] and list(leakage.blocks(items.limit(0), 2)) == [[]]
