@@ -23,6 +23,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BOOKWARP_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="bookwarp-ckpt-"))
     )
     for key, value in conf.items():

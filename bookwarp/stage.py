@@ -17,12 +17,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
     The folder is the session's ``spark.checkpoint.dir``.  A machine-local one is made only where that setting is
-    absent, which is the case in tests.
+    absent and the session runs in one machine; elsewhere a missing folder is an error, since its executors share none.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="bookwarp-ckpt-"))
     return df.checkpoint(eager=True)
 
