@@ -68,14 +68,35 @@ def _found(*terms, **kw):
 
 
 def _sorted(sort: str, descending: bool = False):
-    from pyspark.sql import Window
+    return lambda spark, sf_dir: search.places(search.search(library(spark, sf_dir), ["title:present", "series:present"]), sort, descending)
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        books = search.search(library(spark, sf_dir), ["title:present", "series:present"])
-        keys = [k.desc() if descending else k.asc() for k in search.sort_keys(sort)]
-        return books.select("id", F.row_number().over(Window.orderBy(*keys, F.col("id").asc())).alias("place")).orderBy("place").limit(100)  # a report of the first 100
 
-    return run
+def _organized(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    tables = normalised(spark, sf_dir)
+    return tables, organize.organize_plan(A.assemble(tables))
+
+
+def organize_applied_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books' folders after all moves of the plan."""
+    tables, plan = _organized(spark, sf_dir)
+    return changes.moved_books(tables["books"], plan).select("id", "path")
+
+
+def organize_applied_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files' names after all renames of the plan."""
+    tables, plan = _organized(spark, sf_dir)
+    return changes.renamed_files(tables["data"], plan).select("id", "book", "format", "name")
+
+
+def cover_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best cover of each book among made-up shapes, a fifth of which the book has already."""
+    shapes = table(spark, sf_dir, "part").select((F.col("p_partkey") % 300).alias("book_id"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("origin"), *_shape(), (F.col("p_size") % 5 == 0).alias("is_duplicate"))
+    seen = shapes.withColumn("quality", covers.quality()).withColumn("is_valid", F.size(covers.shape_issues()) == 0)
+    return covers.best_covers(seen).select("book_id", "quality", "origin")
+
+
+def _shape() -> list:
+    return [(F.lit(150) + F.col("p_partkey") % 1400).cast("int").alias("width"), (F.lit(150) + (F.col("p_partkey") * 7) % 2100).cast("int").alias("height")]
 
 
 def _json(df: DataFrame, value) -> DataFrame:
@@ -220,11 +241,21 @@ QUERIES = {
     "search_flag": _found("has_cover:eq=1", "language=fr"),
     "search_and": _found("author=ha", "isbn:present", "format=REVIEW", "date_added:starts_with=2025-0"),
     "search_fuzzy": _found("title:fuzzy=the quiet mill"),
+    "search_lte": _found("rating<=1.5", "rating:gt=0"),
+    "search_gt": _found("rating>3"),
+    "search_lt": _found("rating<2", "series:present"),
     "search_sort_title": _sorted("title"),
+    "search_sort_author": _sorted("author"),
+    "search_sort_date_added": _sorted("date_added"),
+    "search_sort_last_modified": _sorted("last_modified", True),
+    "search_sort_size": _sorted("size", True),
     "search_sort_series": _sorted("series"),
     "search_sort_rating_desc": _sorted("rating", True),
     "search_results": _report(lambda b: R.search_results(search.search(b, ["rating>=3"]))),
     "organize_plan": _on_library(lambda b: organize.plan_report(organize.organize_plan(b))),
+    "organize_applied_paths": organize_applied_paths,
+    "organize_applied_names": organize_applied_names,
+    "cover_best": cover_best,
     "repair_apply_titles": repair_apply_titles,
     "duplicate_report": lambda s, d: duplicates.duplicate_report(library(s, d), _authors(s, d)),
     "dashboard": _on_library(inspect.dashboard),
@@ -324,9 +355,10 @@ mp AS (SELECT author, min(canonical) AS canonical FROM (SELECT unnest(ids[2:]) A
 _search = lambda where: _LIB + f"SELECT id, title FROM lib WHERE {where}"
 _any = lambda xs, cond: f"len(list_filter({xs}, lambda v: {cond})) > 0"
 _names = "list_transform(authors, lambda a: coalesce(a.name, ''))"
-_place = lambda order: _LIB + rf"SELECT id, place FROM (SELECT id, row_number() OVER (ORDER BY {order}, id) AS place FROM lib WHERE {_strip('title')} <> '' AND series IS NOT NULL AND {_strip('series')} <> '') WHERE place <= 100"
+_place = lambda order: _LIB + rf"SELECT id, place FROM (SELECT id, row_number() OVER (ORDER BY {order}, id) AS place FROM lib WHERE {_strip('title')} <> '' AND series IS NOT NULL AND {_strip('series')} <> '')"
 _CAND = "WITH c AS (SELECT * FROM metadata_candidates QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY fetched_at DESC) = 1) SELECT candidate_id, coalesce(title, '') AS title, array_to_string(list_transform(coalesce(authors, []), lambda a: coalesce(a, '')), '; ') AS authors, coalesce(isbn, '') AS isbn, coalesce(publisher, '') AS publisher, "
 
+_PLACED = _LIB + f""", c AS (SELECT id, title, path, files, {_component("CASE WHEN len(authors) > 0 THEN authors[1].name ELSE 'Unknown' END", "'Unknown'")} AS author, {_component("title", "'Untitled (' || id || ')'")} AS t FROM lib)"""
 SQL = {
     "health_score": _LIB + "SELECT id AS book_id, score::INT AS score, array_to_string(failed, ', ') AS failed FROM sc",
     "health_average": _LIB + "SELECT round_even(coalesce(avg(score), 0), 0)::INT AS average_score FROM sc",
@@ -378,11 +410,22 @@ m AS (SELECT s, low, high, list_sort(list_filter(range(low, high + 1), lambda x:
     "search_numeric": _search("rating >= 2.5"),
     "search_flag": _search("has_cover AND " + _any("languages", "contains(lower(v), 'fr')")),
     "search_and": _search(_any(_names, "contains(lower(v), 'ha')") + f" AND {_strip('isbn')} <> '' AND " + _any("files", "contains(lower(v.format), 'review')") + " AND starts_with(lower(timestamp), '2025-0')"),
+    "search_lte": _search("rating <= 1.5 AND rating > 0"),
+    "search_gt": _search("rating > 3"),
+    "search_lt": _search(f"rating < 2 AND series IS NOT NULL AND {_strip('series')} <> ''"),
+    "search_sort_author": _place("lower(coalesce(CASE WHEN len(authors) > 0 THEN CASE WHEN coalesce(authors[1].sort, '') <> '' THEN authors[1].sort ELSE authors[1].name END END, ''))"),
+    "search_sort_date_added": _place("timestamp"),
+    "search_sort_last_modified": _place("last_modified DESC"),
+    "search_sort_size": _place("size DESC"),
     "search_sort_title": _place("lower(CASE WHEN title_sort <> '' THEN title_sort ELSE title END)"),
     "search_sort_series": _place("lower(series), series_index"),
     "search_sort_rating_desc": _place("rating DESC"),
     "search_results": _LIB + "SELECT id AS book_id, title, author_names AS author, coalesce(series, '') AS series, rating, score::INT AS metadata_score, isbn, array_to_string(list_transform(files, lambda f: f.format), ', ') AS formats, has_cover FROM sc WHERE rating >= 3",
-    "organize_plan": _LIB + f""", c AS (SELECT id, title, path, files, {_component("CASE WHEN len(authors) > 0 THEN authors[1].name ELSE 'Unknown' END", "'Unknown'")} AS author, {_component("title", "'Untitled (' || id || ')'")} AS t FROM lib)
+    "organize_applied_paths": _PLACED + "SELECT id, CASE WHEN row_number() OVER (PARTITION BY lower(author || '/' || t) ORDER BY id) = 1 THEN author || '/' || t ELSE author || '/' || t || ' (' || id || ')' END AS path FROM c",
+    "organize_applied_names": _PLACED + "SELECT d.doc_id AS id, d.book, upper(d.kind) AS format, coalesce(c.t, d.source) AS name FROM dc d LEFT JOIN c ON c.id = d.book",
+    "cover_best": """WITH s AS (SELECT p_partkey % 300 AS book_id, lpad(p_partkey::VARCHAR, 9, '0') AS origin, 150 + p_partkey % 1400 AS w, 150 + (p_partkey * 7) % 2100 AS h FROM part WHERE p_size % 5 <> 0)
+SELECT book_id, least(100, greatest(0, round_even(w * h / 1500000.0 * 100, 0)))::INT AS quality, origin FROM s WHERE w >= 300 AND h >= 300 AND h / w BETWEEN 1.1 AND 2.2 QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY quality DESC, origin) = 1""",
+    "organize_plan": _PLACED + """
 SELECT id AS book_id, title, author, path AS current_path, CASE WHEN row_number() OVER (PARTITION BY lower(author || '/' || t) ORDER BY id) = 1 THEN author || '/' || t ELSE author || '/' || t || ' (' || id || ')' END AS proposed_path,
   array_to_string(list_transform(list_filter(files, lambda f: f.name <> t), lambda f: f.name || ' -> ' || t), '; ') AS format_renames FROM c""",
     "repair_apply_titles": _ISSUES + f", ch AS (SELECT book_id, max(suggested_value) AS v FROM sug WHERE suggested_value <> '' GROUP BY 1) SELECT bk.id, coalesce(ch.v, bk.title) AS title, CASE WHEN ch.v IS NULL OR ch.v = bk.title THEN bk.sort ELSE {_tsort('ch.v')} END AS sort FROM bk LEFT JOIN ch ON ch.book_id = bk.id",

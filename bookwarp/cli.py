@@ -11,11 +11,12 @@ from bookwarp.operators import covers, duplicates, score, search, statistics
 from bookwarp.operators.inspect import dashboard
 from bookwarp.plans import changes, files, organize
 from bookwarp.providers import mapping
-from bookwarp.providers.lookup import SERVICES, Lookup
+from bookwarp.providers.lookup import SERVICES, USER_AGENT, Lookup, ProviderUnavailable
 from bookwarp.reports import presets, sinks, tables
 from bookwarp.session import local_session
 from bookwarp.sources.cache import ResponseCache
-from bookwarp.sources.sqlite import read_catalogue
+from bookwarp.sources.sqlite import read_catalogue, write_values
+from bookwarp.stage import cut
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,11 +47,79 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--service", choices=list(SERVICES), default="openlibrary")
     p.add_argument("--cache", default=".cache")
     p.add_argument("--offline", action="store_true")
-    p = add("covers", help="covers found in a folder")
-    p.add_argument("--folder", required=True)
+    p = add("covers", help="covers for a book, from services and a folder; a preview unless --apply")
+    p.add_argument("--book", type=int, help="only this book; needed for --service and --apply")
+    p.add_argument("--folder", help="images named by book id")
+    p.add_argument("--service", choices=list(SERVICES))
+    p.add_argument("--cache", default=".cache")
+    p.add_argument("--offline", action="store_true")
+    p.add_argument("--library", help="folder of the books' own covers")
+    p.add_argument("--apply", action="store_true", help="save the chosen cover, after a backup of the database")
+    choice = p.add_mutually_exclusive_group()
+    choice.add_argument("--best", action="store_true")
+    choice.add_argument("--candidate", type=int)
     return top
 
 
+def fetch_bytes(url: str) -> bytes:
+    import urllib.request
+
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": USER_AGENT}), timeout=10) as answer:
+        return answer.read()
+
+
+def _covers(args, spark, books, say) -> int:
+    """Lists candidates; with ``--apply`` saves one of a book's and notes it in the database."""
+    book = None
+    if args.book is not None:
+        book = books.filter(books.id == args.book).select("id", "isbn", "title", "path", A.author_names().alias("author")).first()
+        if book is None:
+            say(f"Book {args.book} not found")
+            return 1
+    if book is None and (args.service or args.apply):
+        say("--service and --apply need --book")
+        return 2
+    downloaded = folder = None
+    if args.service:
+        asked = Lookup(args.service, ResponseCache(Path(args.cache) / args.service), offline=args.offline)
+        try:
+            downloaded = covers.downloaded_covers(spark, asked.candidates(spark, book.id, book.isbn, book.title, book.author), fetch_bytes)
+        except ProviderUnavailable as error:
+            say(error)
+    if args.folder:
+        folder = covers.user_folder_covers(spark, args.folder)
+        folder = folder if book is None else folder.filter(folder.book_id == book.id)
+    if downloaded is None and folder is None:
+        say("No covers to look at: name a --folder or a --service")
+        return 2
+    if args.library and list(Path(args.library).rglob("cover.jpg")):
+        existing = covers.present_covers(spark, books if book is None else books.filter(books.id == book.id), args.library)
+    else:
+        existing = spark.createDataFrame([], "book_id bigint, content binary")
+    found = cut(covers.numbered(covers.flag_duplicates(covers.gathered(folder, downloaded), existing)))
+    for row in covers.candidate_lines(found).orderBy("book_id", "number").collect():
+        say(row.book_id, f"[{row.number}]", row.line)
+    if not args.apply:
+        return 0
+    if args.best:
+        best = covers.best_covers(found.filter(found.book_id == book.id), "number").first()
+        number = best.number if best else None
+    else:
+        number = args.candidate
+    chosen = found.filter((found.book_id == book.id) & (found.number == number)).first() if number is not None else None
+    if chosen is None or not chosen.is_valid:
+        say("No candidate to save" if chosen is None else "The candidate is not valid: " + "; ".join(chosen.issues))
+        return 1
+    say("backup", changes.backup_file(args.database))
+    error = files.save_cover(Path(args.library or Path(args.database).parent) / book.path, bytes(chosen.content))
+    if error:
+        say(error)
+        return 1
+    write_values(args.database, "books", "has_cover", ["id"], [(1, book.id)])
+    say(f"Cover saved for {book.id}")
+    return 0
+
+
 def main(argv: list[str] | None = None, spark=None, out=sys.stdout) -> int:
     args = parser().parse_args(argv)
     spark = spark or local_session()
@@ -99,6 +168,8 @@ def main(argv: list[str] | None = None, spark=None, out=sys.stdout) -> int:
             say(f"{sum(r.moved for r in done)} moved, {sum(bool(r.error) for r in done)} failed")
             for line in presets.failures(done):
                 say(line)
+            write_values(args.database, "books", "path", ["id"], [(r.proposed_path, r.book_id) for r in done if r.moved and not r.error])
+            write_values(args.database, "data", "name", ["book", "format"], [(new, r.book_id, f) for r in done for f, new in r.names])
     elif command == "lookup":
         book = books.filter(books.id == args.book_id)
         row = book.select("id", "isbn", "title", A.author_names().alias("author")).first()
@@ -109,9 +180,7 @@ def main(argv: list[str] | None = None, spark=None, out=sys.stdout) -> int:
         for line in presets.lines(mapping.comparison(mapping.local_candidates(book), asked.candidates(spark, row.id, row.isbn, row.title, row.author))):
             say(line)
     elif command == "covers":
-        found = covers.examined(covers.user_folder_covers(spark, args.folder))
-        for row in covers.candidate_lines(covers.flag_duplicates(found, spark.createDataFrame([], "book_id bigint, content binary"))).orderBy("book_id").collect():
-            say(row.book_id, row.line)
+        return _covers(args, spark, books, say)
     return 0
 
 

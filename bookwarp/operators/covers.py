@@ -6,9 +6,10 @@ Only the headers of JPEG, PNG and WEBP files are parsed, in a vectorised functio
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The limits of the rules.
@@ -92,6 +93,50 @@ def examined(images: DataFrame) -> DataFrame:
     return out.withColumn("issues", issues).withColumn("quality", score).withColumn("is_valid", F.size("issues") == 0).withColumn("digest", F.sha2("content", 256))
 
 
+def downloaded_covers(spark: SparkSession, candidates: DataFrame, fetch) -> DataFrame:
+    """(book_id, source, origin, content, failure) of candidates (id, source, cover_url) with an address.
+
+    ``fetch`` takes an address and gives bytes; it runs in tasks.  What it raises for a network fault is the candidate's
+    failure, the other candidates are not affected.
+    """
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for url in batch["origin"]:
+                try:
+                    rows.append((fetch(url), ""))
+                except TimeoutError as error:
+                    rows.append((None, f"Download timed out: {error}"))
+                except OSError as error:  # what the standard library raises for an address that can't be read
+                    rows.append((None, f"Download failed: {error}"))
+            yield batch.assign(content=[r[0] for r in rows], failure=[r[1] for r in rows])
+
+    asked = candidates.filter("cover_url <> ''").select(F.col("id").alias("book_id"), "source", F.col("cover_url").alias("origin"))
+    return asked.mapInPandas(load, "book_id bigint, source string, origin string, content binary, failure string")
+
+
+def gathered(folder: DataFrame | None, downloaded: DataFrame | None) -> DataFrame:
+    """Examined candidates of both kinds; a failed download is an issue, and the only one."""
+    parts = []
+    if downloaded is not None:
+        parts.append(downloaded)
+    if folder is not None:
+        parts.append(folder.select("book_id", F.lit("user").alias("source"), "origin", "content", F.lit("").alias("failure")))
+    if not parts:
+        raise ValueError("no covers to look at")
+    every = examined(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    failed = F.col("failure") != ""
+    return every.withColumn("issues", F.when(failed, F.array("failure")).otherwise(F.col("issues"))).withColumn("is_valid", F.col("is_valid") & ~failed)
+
+
+def present_covers(spark: SparkSession, books: DataFrame, library: str) -> DataFrame:
+    """(book_id, content) of cover.jpg in the folders of books (id, path); books without one have no row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "cover.jpg").load(library)
+    inside = F.regexp_extract(F.col("path"), "([^/]+/[^/]+)/cover\\.jpg$", 1)
+    return files.select(inside.alias("path"), "content").join(books.select(F.col("id").alias("book_id"), "path"), "path").select("book_id", "content")
+
+
 def user_folder_covers(spark: SparkSession, folder: str) -> DataFrame:
     """(book_id, origin, content) of the files <book id>.jpg, .jpeg, .png or .webp in a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,webp}").load(folder)
@@ -111,7 +156,13 @@ def best_covers(candidates: DataFrame, order: str = "origin") -> DataFrame:
     return good.groupBy("book_id").agg(F.min(F.struct((-F.col("quality")).alias("q"), F.col(order).alias("o"))).alias("b")).select("book_id", (-F.col("b.q")).alias("quality"), F.col("b.o").alias(order))
 
 
+def numbered(candidates: DataFrame) -> DataFrame:
+    """Candidates of each book with the number that the preview shows, downloads first, then by origin."""
+    return candidates.withColumn("number", F.row_number().over(Window.partitionBy("book_id").orderBy(F.col("source") == "user", "source", "origin")))
+
+
 def candidate_lines(candidates: DataFrame) -> DataFrame:
     """(book_id, line): one line of text for each candidate."""
     state = F.when(F.col("is_duplicate"), "same as the present cover").when(F.col("is_valid"), "ok").otherwise(F.array_join("issues", "; "))
-    return candidates.select("book_id", F.format_string("%s: %dx%d %s, quality %d - %s", "origin", F.coalesce("width", F.lit(0)), F.coalesce("height", F.lit(0)), F.coalesce("format", F.lit("?")), "quality", state).alias("line"))
+    kept = [c for c in ("number",) if c in candidates.columns]
+    return candidates.select("book_id", *kept, F.format_string("%s: %dx%d %s, quality %d - %s", "origin", F.coalesce("width", F.lit(0)), F.coalesce("height", F.lit(0)), F.coalesce("format", F.lit("?")), "quality", state).alias("line"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,15 +75,20 @@ def _parts(title: str, pieces: int) -> list[tuple[int, str]]:
 
 
 def _keys(threshold: float):
+    """(key, first_id, indexed): hashes of a block, a length and a part of a title at a place; no texts leave the task."""
+
+    def hashed(*parts) -> int:
+        return int.from_bytes(blake2b("\0".join(map(str, parts)).encode(), digest_size=8).digest(), "little", signed=True)
+
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows = set()
             for block, title, first in zip(batch["block"], batch["title"], batch["first_id"], strict=True):
                 n = len(title)
                 most = unmatched(n, n, threshold)
                 # of two texts, the longer one is cut into parts and the shorter one looks for them
                 for i, (_, part) in enumerate(_parts(title, most + 1)):
-                    rows.append((block, n, i, part, first, title, True))
+                    rows.add((hashed(block, n, i, part), first, True))
                 longer = n
                 while unmatched(n, longer, threshold) >= longer - n:
                     pieces = unmatched(longer, longer, threshold)
@@ -91,9 +97,9 @@ def _keys(threshold: float):
                         for shift in range(-min(pieces, i + gap), min(pieces, i) + 1):
                             begin = at + shift
                             if begin >= 0 and begin + len(part) <= n:
-                                rows.append((block, longer, i, title[begin : begin + len(part)], first, title, False))
+                                rows.add((hashed(block, longer, i, title[begin : begin + len(part)]), first, False))
                     longer += 1
-            yield pd.DataFrame(rows, columns=["block", "length", "part", "text", "first_id", "title", "indexed"]).drop_duplicates()
+            yield pd.DataFrame(list(rows), columns=["key", "first_id", "indexed"]).astype({"key": "int64", "indexed": "bool"})
 
     return keys
 
@@ -112,32 +118,44 @@ def _close(threshold: float):
 
 def close_titles(books: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): title classes (by first id, a < b) of one first author whose likeness reaches the threshold."""
-    classes = title_classes(books)
-    keys = cut(classes.mapInPandas(_keys(threshold), "block string, length int, part int, text string, first_id bigint, title string, indexed boolean"))
-    on = ["block", "length", "part", "text"]
-    left = keys.filter("indexed").select(*on, F.col("first_id").alias("x"), F.col("title").alias("x_title"))
-    right = keys.filter("not indexed").select(*on, F.col("first_id").alias("y"), F.col("title").alias("y_title"))
-    met = left.join(right, on).filter("x <> y").select("x", "y", "x_title", "y_title").distinct()
-    swap = F.col("x") < F.col("y")
-    pair = lambda a, b: F.when(swap, F.col(a)).otherwise(F.col(b))
-    pairs = met.select(pair("x", "y").alias("a"), pair("y", "x").alias("b"), pair("x_title", "y_title").alias("a_title"), pair("y_title", "x_title").alias("b_title")).distinct()
+    classes = cut(title_classes(books))
+    keys = cut(classes.mapInPandas(_keys(threshold), "key bigint, first_id bigint, indexed boolean"))
+    left = keys.filter("indexed").select("key", F.col("first_id").alias("x"))
+    right = keys.filter("not indexed").select("key", F.col("first_id").alias("y"))
+    ids = left.join(right, "key").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # texts join the pairs of ids when these are few
+    texts = classes.select("first_id", "title", "block")
+    pairs = ids.join(texts.toDF("a", "a_title", "a_block"), "a").join(texts.toDF("b", "b_title", "b_block"), "b").filter("a_block = b_block")
     pairs = pairs.filter(without_digits("a_title") != without_digits("b_title"))
     return pairs.mapInPandas(_close(threshold), "a bigint, b bigint")
 
 
 def leaders(pairs: DataFrame) -> DataFrame:
-    """(id, leader) for every node of (a, b), a < b, that isn't its own leader, as a pass in the order of ids assigns them."""
-    pairs = cut(pairs.distinct())
-    nodes = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    settled = cut(nodes.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").withColumn("leader", F.col("id")))
-    total, done = nodes.count(), settled.count()
-    while done < total:
-        open_nodes = nodes.join(settled.select("id"), "id", "left_anti")
-        before = open_nodes.join(pairs.withColumnRenamed("b", "id"), "id").join(settled.select(F.col("id").alias("a"), "leader"), "a", "left")
-        ready = before.groupBy("id").agg(F.count_if(F.col("leader").isNull()).alias("waiting"), F.min(F.when(F.col("leader") == F.col("a"), F.col("a"))).alias("leader")).filter("waiting = 0")
-        settled = cut(settled.unionByName(ready.select("id", F.coalesce("leader", "id").alias("leader"))))
-        done = settled.count()
-    return settled.filter("id <> leader")
+    """(id, leader) for every node of (a, b), a < b, that isn't its own leader, as a pass in the order of ids assigns them.
+
+    A node is its own leader unless an earlier neighbour is one.  In each round every node whose earlier neighbours are all
+    decided is decided, and a node with a leader among them takes the smallest, so pairs that decide nothing any more
+    leave the work; the rounds are as many as the longest run of titles of which each waits for the one before it.
+    """
+    open_pairs = cut(pairs.distinct())
+    decided = None
+    while not open_pairs.isEmpty():
+        # firsts wait for nobody: they lead, and all their later neighbours follow the smallest of them
+        waiting = open_pairs.select(F.col("b").alias("a")).distinct()
+        firsts = cut(open_pairs.join(waiting, "a", "left_anti"))
+        led = cut(firsts.groupBy("b").agg(F.min("a").alias("leader")))
+        # a follower whose earlier neighbours are not all decided may still get a smaller leader
+        rest = open_pairs.join(led.select("b", F.col("leader").alias("least")), "b", "left")
+        unsure = rest.filter("least is not null and a < least").join(led.select(F.col("b").alias("a")), "a", "left_anti").select("b").distinct()
+        final = cut(led.join(unsure, "b", "left_anti"))
+        decided = final if decided is None else decided.unionByName(final)
+        gone = final.select(F.col("b").alias("id"))
+        # followers neither wait nor lead; a pair with a leader is kept only for those who may still find a smaller one
+        left = rest.join(gone.withColumnRenamed("id", "b"), "b", "left_anti").join(gone.withColumnRenamed("id", "a"), "a", "left_anti")
+        open_pairs = cut(left.select("a", "b"))
+    if decided is None:
+        return pairs.select(F.col("a").alias("id"), F.col("b").alias("leader")).limit(0)
+    return decided.select(F.col("b").alias("id"), "leader")
 
 
 def title_groups(books: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

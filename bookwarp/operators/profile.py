@@ -7,7 +7,8 @@ The unit is a column chunk, one column of one row group, and all of it happens i
   are values;
 * the dictionary page holds the different values of a chunk, if no page of data went without it; it gives distinct counts
   and extrema without the pages of data, and settles a chunk with one value;
-* any other chunk is scanned, alone: texts as indices into their dictionary, so a value is looked at once and counted.
+* any other chunk is scanned: files of nothing but such chunks by Spark's reader, of other files the single chunks, texts as
+  indices into their dictionary, so that a value is looked at once and counted.
 
 ``load_histogram`` ends in (load_id, value, n), from which all metrics of a load follow; ``column_profile`` has the null
 rate, the distinct count and the range of every column.
@@ -18,16 +19,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bookwarp.sources.chunks import Chunks, over_chunks
-from bookwarp.stage import blank
+from bookwarp.sources.chunks import Chunks, opened, over_chunks
+from bookwarp.stage import blank, cut
 
 #: A calendar date, alone or with a time of day at UTC.
 DATE_FORM = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}( ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\+00:00)?$"
 YEARS = (1450, 2026)
-HISTOGRAM = "tbl string, col string, load_id bigint, value string, n bigint, how string"
+HISTOGRAM = "tbl string, col string, file string, chunk int, load_id bigint, value string, n bigint, how string"
 PROFILE = "tbl string, col string, place int, kind string, rows bigint, nulls bigint, value string, low_i bigint, high_i bigint, low_d double, high_d double, how string"
 
 
@@ -42,7 +44,7 @@ def in_range(date) -> F.Column:
 
 
 def as_text(kind: str, value) -> str | None:
-    """A value as text; equal values have equal texts."""
+    """A value as text, as a cast gives it; moments are whole microseconds."""
     return None if value is None else str(value).lower() if kind == "b" else str(value)
 
 
@@ -62,16 +64,15 @@ def _counted(values, loads) -> Iterator[tuple[int | None, object, int]]:
         yield known[load] if load < len(known) else None, words[value] if value < len(words) else None, count
 
 
-def chunk_histograms(spark: SparkSession, paths: dict[str, str], columns: dict[str, list[str]], load: str = "load_id") -> DataFrame:
-    """(tbl, col, load_id, value, n, how) for each row group: value counts by load, and whether a footer, a dictionary page
-    or a scan gave them.
+def settled_chunks(spark: SparkSession, paths: dict[str, str], columns: dict[str, list[str]], load: str = "load_id") -> DataFrame:
+    """(tbl, col, file, chunk, load_id, value, n, how): value counts of the chunks that a footer or a dictionary page settles;
+    of every other chunk one row with ``how`` = ``scan`` and its number of rows.
 
     Columns of a type that isn't profiled have no rows, nor has a file that lacks the column.
     """
 
     def each(tbl: str, chunk: Chunks) -> Iterator[tuple]:
         loaded, the_load = chunk.constant(load) if load in chunk.place and chunk.nulls(load) == 0 else (False, None)
-        scanned = []
         for c in columns[tbl]:
             kind = chunk.kind(c)
             if not kind or not chunk.rows:
@@ -79,26 +80,66 @@ def chunk_histograms(spark: SparkSession, paths: dict[str, str], columns: dict[s
             nulls = chunk.nulls(c)
             one, value = chunk.constant(c)
             how = "footer"
-            if loaded and nulls is not None and nulls < chunk.rows and not one:
+            if loaded and nulls is not None and nulls < chunk.rows and not one and kind != "d":
                 held = chunk.distinct(c)
-                one, value, how = (True, held[0], "dictionary") if held is not None and len(held) == 1 and held[0] == held[0] else (False, None, "")
-            if loaded and nulls is not None and (one or nulls == chunk.rows):
-                if nulls:
-                    yield tbl, c, the_load, None, nulls, how
-                if nulls < chunk.rows:
-                    yield tbl, c, the_load, as_text(kind, value), chunk.rows - nulls, how
-            else:
-                scanned.append(c)
-        if scanned:
-            held = chunk.scan([*scanned, load])
-            for c in scanned:
-                kind = chunk.kind(c)
-                for at, value, n in _counted(held[c], held[load]):
-                    yield tbl, c, at, as_text(kind, value), n, "scan"
+                one, value, how = (True, held[0], "dictionary") if held is not None and len(held) == 1 else (False, None, "")
+            at = (tbl, c, chunk.file, chunk.number)
+            if kind == "d" or not (loaded and nulls is not None and (one or nulls == chunk.rows)):  # real numbers have other texts here
+                yield *at, None, None, chunk.rows, "scan"
+                continue
+            if nulls:
+                yield *at, the_load, None, nulls, how
+            if nulls < chunk.rows:
+                yield *at, the_load, as_text(kind, value), chunk.rows - nulls, how
 
     return over_chunks(spark, paths, each, HISTOGRAM)
 
 
+def chunk_histograms(spark: SparkSession, paths: dict[str, str], columns: dict[str, list[str]], load: str = "load_id") -> DataFrame:
+    """(tbl, col, load_id, value, n, how) for all chunks: value counts by load, and whether a footer, a dictionary page, a scan
+    of the chunk or one of its whole file gave them.
+
+    Per column the list of files that need a whole scan is made on the driver, which holds it for that scan anyway.
+    """
+    known = cut(settled_chunks(spark, paths, columns, load))
+    scans = F.count_if(F.col("how") == "scan")
+    files = known.groupBy("tbl", "col", "file").agg(scans.alias("open"), F.count_if(F.col("how") != "scan").alias("settled"))
+    mixed = files.filter("open > 0 and settled > 0").select("tbl", "col", "file")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for tbl, c, file, number in zip(batch["tbl"], batch["col"], batch["file"], batch["chunk"], strict=True):
+                with opened(file) as handle:
+                    chunk = Chunks(file, handle, int(number))
+                    held = chunk.scan([c, load])
+                    rows = [(tbl, c, at, as_text(chunk.kind(c), value), n, "scan") for at, value, n in _counted(held[c], held[load])]
+                yield pd.DataFrame(rows, columns=["tbl", "col", "load_id", "value", "n", "how"]).astype({"load_id": "Int64"})
+
+    schema = "tbl string, col string, load_id bigint, value string, n bigint, how string"
+    out = known.filter("how <> 'scan'").select("tbl", "col", "load_id", "value", "n", "how")
+    if not mixed.isEmpty():
+        alone = known.filter("how = 'scan'").join(mixed, ["tbl", "col", "file"], "left_semi").select("tbl", "col", "file", "chunk")
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        out = out.unionByName(alone.repartition(tasks).mapInPandas(scan, schema))
+    whole: dict[tuple[str, str], list[str]] = {}
+    for r in files.filter("settled = 0").select("tbl", "col", "file").toLocalIterator():
+        whole.setdefault((r.tbl, r.col), []).append(r.file)
+    for (tbl, c), names in sorted(whole.items()):
+        df = spark.read.parquet(*sorted(names))
+        rows = df.groupBy(F.col(load).cast("bigint").alias("load_id"), _number(c, dict(df.dtypes)[c]).cast("string").alias("value")).agg(F.count("*").alias("n"))
+        out = out.unionByName(rows.select(F.lit(tbl).alias("tbl"), F.lit(c).alias("col"), "load_id", "value", "n", F.lit("file").alias("how")))
+    return out
+
+
+def _number(column: str, kind: str) -> F.Column:
+    """Dates as days and moments as microseconds since 1970, as files hold them; other values as they are."""
+    if kind == "date":
+        return F.unix_date(column)
+    if kind == "timestamp":
+        return F.unix_micros(column)
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{column}`)") if kind == "timestamp_ntz" else F.col(column)
+
+
 def load_histogram(spark: SparkSession, paths: dict[str, str], columns: dict[str, list[str]], load: str = "load_id") -> DataFrame:
     """(tbl, col, load_id, value, n): how often each load has each exact value (as text; null is a value)."""
     return chunk_histograms(spark, paths, columns, load).filter("load_id is not null").groupBy("tbl", "col", "load_id", "value").agg(F.sum("n").alias("n"))

@@ -44,6 +44,27 @@ def apply_repairs(books: DataFrame, suggestions: DataFrame) -> DataFrame:
     return retitled(books, good)
 
 
+def moved_books(books: DataFrame, plan: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Books with the paths of an organize plan, but for the books in ``failed`` (book_id)."""
+    moves = plan.filter("folder_changed").select(F.col("book_id").alias("id"), F.col("proposed_path").alias("new_value"))
+    if failed is not None:
+        moves = moves.join(failed.select(F.col("book_id").alias("id")), "id", "left_anti")
+    return updated(books, moves, ["id"], "path")
+
+
+def renamed_files(data: DataFrame, plan: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Files (book, format, name, ...) with the names of an organize plan, but for those in ``failed`` (book_id, format)."""
+    names = plan.select(F.col("book_id").alias("book"), F.explode("format_renames").alias("r")).filter("r.old_name <> r.new_name").select("book", "r.format", F.col("r.new_name").alias("new_value"))
+    if failed is not None:
+        names = names.join(failed.select(F.col("book_id").alias("book"), "format"), ["book", "format"], "left_anti")
+    return updated(data, names, ["book", "format"], "name")
+
+
+def with_covers(books: DataFrame, saved: DataFrame) -> DataFrame:
+    """Books that have a cover now: those in ``saved`` (book_id)."""
+    return updated(books, saved.select(F.col("book_id").alias("id"), F.lit(True).alias("new_value")), ["id"], "has_cover")
+
+
 def merge_map(groups: DataFrame) -> DataFrame:
     """(author, canonical) from groups with a canonical id and an array of duplicates."""
     return groups.select(F.explode("duplicate_author_ids").alias("author"), F.col("canonical_author_id").alias("canonical")).filter("author <> canonical").groupBy("author").agg(F.min("canonical").alias("canonical"))

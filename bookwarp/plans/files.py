@@ -19,6 +19,7 @@ class Outcome:
     proposed_path: str
     moved: bool = False
     renamed: list[str] = field(default_factory=list)
+    names: list[tuple[str, str]] = field(default_factory=list)
     error: str = ""
 
 
@@ -73,6 +74,7 @@ def carry_out(plan: DataFrame, root: str | Path, apply: bool = False) -> list[Ou
                     result.error = wrong
                 else:
                     result.renamed.append(r.new_name)
+                    result.names.append((r.format, r.new_name))
     return out
 
 

@@ -47,12 +47,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVERY_COLUMN = ("books", "authors", "books_authors_link", "identifiers", "metadata_candidates")
 
 
-def p7_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def column_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, nulls, distinct values and range of every flat column of the catalogue."""
     return column_profile(spark, {t: f"{sf_dir}/{t}.parquet" for t in EVERY_COLUMN})
 
 
-QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_profile": p7_profile, "p7_columns": p7_columns}
+QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_profile": p7_profile, "column_profiles": column_profiles}
 
 _ORPHANS = """
 WITH l AS (SELECT id, book, author, min(loaded_at) AS at FROM books_authors_link GROUP BY id, book, author),
@@ -113,7 +113,7 @@ def _columns_sql() -> str:
 
 
 SQL = {
-    "p7_columns": _columns_sql(),
+    "column_profiles": _columns_sql(),
     "p6_found": _ORPHANS + "SELECT link_id, ref, kind FROM o",
     "p6_report": _ORPHANS + "SELECT ref, kind, strftime(o.at, '%Y-%m') AS period, count(*) AS n FROM o GROUP BY ALL",
     "p7_profile": _PROFILE + "SELECT tbl, col, load_id, metric, round(value, 6) AS value FROM p",

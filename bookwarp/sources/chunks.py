@@ -157,8 +157,11 @@ def dictionary_values(handle, column) -> list | None:
 class Chunks:
     """The column chunks of one row group."""
 
-    def __init__(self, handle, parquet, group: int):
-        self.handle, self.parquet, self.number = handle, parquet, group
+    def __init__(self, file: str, handle, group: int):
+        import pyarrow.parquet as pq
+
+        self.file, self.handle, self.number = file, handle, group
+        self.parquet = parquet = pq.ParquetFile(handle)
         self.group = parquet.metadata.row_group(group)
         self.rows = self.group.num_rows
         self.place = {self.group.column(i).path_in_schema: i for i in range(self.group.num_columns)}
@@ -243,13 +246,11 @@ def over_chunks(spark: SparkSession, paths: dict[str, str], each: Callable[[str,
             yield pd.DataFrame(rows, columns=["tbl", "file", "chunk"]).astype({"chunk": "int32"})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.parquet as pq
-
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             for tbl, uri, g in zip(batch["tbl"], batch["file"], batch["chunk"], strict=True):
                 with opened(uri) as handle:
-                    rows = list(each(tbl, Chunks(handle, pq.ParquetFile(handle), g)))
+                    rows = list(each(tbl, Chunks(uri, handle, g)))
                 yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
 
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,4 +1,4 @@
-"""A read-only data source for SQLite files, with the columns, filters and ranges that a scan needs pushed into SQLite.
+"""A data source for SQLite files, read-only but for ``write_values``, with the columns, filters and ranges that a scan needs pushed into SQLite.
 
 ``spark.read.format("sqlite").option("table", "books").load(path)``.  Options: ``columns`` (comma-separated), ``limit``,
 ``partitions`` with ``partition_column`` (ranges of an integer column, read in parallel).  Comparisons with constants on
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -113,6 +114,23 @@ def read_sqlite(spark: SparkSession, path: str, table: str, **options) -> DataFr
     return reader.load()
 
 
+def write_values(path: str, table: str, column: str, on: list[str], rows: Iterator[tuple] | list[tuple]) -> int:
+    """Sets a column where the key columns have the given values, in one transaction: rows are (value, *keys).
+
+    The database's own function for sort titles is at hand, since its triggers may call it.  Returns the rows changed.
+    """
+    with closing(sqlite3.connect(path)) as db, db:
+        db.create_function("title_sort", 1, sort_title)
+        where = " AND ".join(f"{_quoted(k)} = ?" for k in on)
+        return db.executemany(f"UPDATE {_quoted(table)} SET {_quoted(column)} = ? WHERE {where}", rows).rowcount
+
+
+def sort_title(title: str | None) -> str | None:
+    """The title with a leading English article moved behind."""
+    first, _, rest = (title or "").strip().partition(" ")
+    return f"{rest}, {first}" if first.lower() in ("a", "an", "the") and rest else title
+
+
 def table_names(path: str) -> list[str]:
     with _connect(str(path)) as db:
         return [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]

@@ -187,6 +187,38 @@ def test_organize_and_files(spark, tmp_path):
     assert presets.failures(list(done.values())) == [f"3: {done[3].error}"]
 
 
+def test_leaders_as_in_a_pass(spark):
+    import random
+
+    rng = random.Random(3)
+    for n in (3, 14):
+        pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(2 * n)})
+        lead = {}
+        for v in range(n):
+            before = [a for a, b in pairs if b == v and lead[a] == a]
+            lead[v] = min(before, default=v)
+        got = {r.id: r.leader for r in duplicates.leaders(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+        assert got == {v: a for v, a in lead.items() if a != v}
+
+
+def test_places_without_one_task(spark):
+    books = make(spark, *[{"title": f"T {i % 7}"} for i in range(40)])
+    got = [r.id for r in search.places(books, "title", True).orderBy("place").collect()]
+    want = [r.id for r in search.search(books, [], "title", True).collect()]
+    assert got == want and [r.place for r in search.places(books, "title").orderBy("place").collect()] == list(range(1, 41))
+    assert search.places(books.limit(0), "title").count() == 0
+
+
+def test_organized_tables(spark):
+    plan = spark.createDataFrame([(1, True, "new/a", [("EPUB", "old", "a")]), (2, True, "new/b", []), (3, False, "c", [("PDF", "x", "c"), ("EPUB", "c", "c")])], "book_id bigint, folder_changed boolean, proposed_path string, format_renames array<struct<format:string,old_name:string,new_name:string>>")
+    books = spark.createDataFrame([(1, "a", False), (2, "b", None), (3, "c", True), (4, "d", False)], "id bigint, path string, has_cover boolean")
+    failed = spark.createDataFrame([(2, "PDF")], "book_id bigint, format string")
+    assert sorted(r.path for r in changes.moved_books(books, plan, failed).collect()) == ["b", "c", "d", "new/a"]
+    data = spark.createDataFrame([(1, "EPUB", "old"), (3, "PDF", "x"), (3, "EPUB", "c"), (9, "PDF", "y")], "book bigint, format string, name string")
+    assert sorted((r.book, r.format, r.name) for r in changes.renamed_files(data, plan).collect()) == [(1, "EPUB", "a"), (3, "EPUB", "c"), (3, "PDF", "c"), (9, "PDF", "y")]
+    assert {r.id: r.has_cover for r in changes.with_covers(books, failed).collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
 def test_changes(spark, tmp_path):
     books = spark.createDataFrame([(1, "A", "A"), (2, "The B by C D", "x")], "id bigint, title string, sort string")
     suggested = spark.createDataFrame([(2, "title", "The B"), (1, "title", ""), (1, "isbn", "9")], "book_id bigint, field string, suggested_value string")
@@ -236,6 +268,56 @@ def test_cli(spark, database, tmp_path):
     assert "Doctor Sleep" in run("organize", "--library", str(tmp_path))
 
 
+def test_cli_writes_back(spark, database, tmp_path):
+    """Moved folders, renamed files and saved covers are noted in the database, after a backup."""
+    import io
+    import shutil
+    import sqlite3
+
+    from bookwarp import cli
+    from bookwarp.plans import files as plan_files
+    from tests.test_providers import jpeg, png
+
+    own = tmp_path / "own" / "metadata.db"
+    own.parent.mkdir()
+    shutil.copy(database, own)
+    run = lambda *a: (out := io.StringIO(), cli.main(["--database", str(own), *a], spark, out))[0].getvalue()
+    with sqlite3.connect(own) as db:
+        path, = db.execute("select path from books where id = 1").fetchone()
+        (tmp_path / path).mkdir(parents=True)
+        for fmt, name in db.execute("select format, name from data where book = 1"):
+            (tmp_path / path / f"{name}.{fmt.lower()}").write_text("x")
+    said = run("organize", "--library", str(tmp_path), "--apply")
+    assert "1 moved, 1 failed" in said and "backup" in said
+    with sqlite3.connect(own) as db:
+        assert dict(db.execute("select id, path from books"))[1] == "Stephen King/Doctor Sleep" and "(2)" in dict(db.execute("select id, path from books"))[2]
+        assert {n for n, in db.execute("select name from data where book = 1")} == {"Doctor Sleep"}
+    images = tmp_path / "images"
+    images.mkdir()
+    (images / "1.jpg").write_bytes(jpeg(1000, 1500))
+    (images / "1.png").write_bytes(png(100, 150))
+    (tmp_path / "Stephen King/Doctor Sleep/cover.jpg").write_bytes(png(1, 1))
+    kept = plan_files.save_cover
+    saved = []
+    plan_files.save_cover = lambda folder, content: saved.append((str(folder), len(content))) or ""
+    try:
+        listed = run("covers", "--folder", str(images), "--book", "1", "--library", str(tmp_path))
+        assert "[1]" in listed and "[2]" in listed and "Resolution too low" in listed and not saved
+        assert "No candidate" in run("covers", "--folder", str(images), "--book", "1", "--apply", "--candidate", "9")
+        assert "not valid" in run("covers", "--folder", str(images), "--book", "1", "--apply", "--candidate", "2")
+        with sqlite3.connect(own) as db:
+            db.execute("update books set has_cover = 0")
+        assert "Cover saved" in run("covers", "--folder", str(images), "--book", "1", "--library", str(tmp_path), "--apply", "--best")
+        (tmp_path / "Stephen King/Doctor Sleep/cover.jpg").write_bytes(jpeg(1000, 1500))
+        assert "same as the present cover" in run("covers", "--folder", str(images), "--library", str(tmp_path))
+    finally:
+        plan_files.save_cover = kept
+    assert len(saved) == 1 and saved[0][0].endswith("Stephen King/Doctor Sleep")
+    with sqlite3.connect(own) as db:
+        assert dict(db.execute("select id, has_cover from books")) == {1: 1, 2: 0}
+    assert "not found" in run("covers", "--folder", str(images), "--book", "77") and "need --book" in run("covers", "--service", "openlibrary")
+
+
 def test_latest_fields(spark):
     from bookwarp.stage import latest, latest_fields
 

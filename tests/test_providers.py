@@ -91,3 +91,20 @@ def test_covers(spark, tmp_path):
     (tmp_path / "x.jpg").write_bytes(jpeg(10, 20))
     assert [r.book_id for r in covers.user_folder_covers(spark, str(tmp_path)).collect()] == [5]
     assert covers.image_header(b"\xff\xd8\xff") is None and covers.image_header(b"") is None
+
+
+def test_downloads_and_their_faults(spark):
+    urls = [(1, "s", "good"), (1, "s", "slow"), (1, "s", "gone"), (1, "s", ""), (1, "s", None)]
+    candidates = spark.createDataFrame(urls, "id bigint, source string, cover_url string")
+
+    def fetch(url):
+        if url == "slow":
+            raise TimeoutError("10 s")
+        if url == "gone":
+            raise OSError("404")
+        return b"\xff\xd8" + b"x" * 200
+
+    folder = spark.createDataFrame([(1, "f.jpg", jpeg(1000, 1500))], "book_id bigint, origin string, content binary")
+    found = {r.origin: r for r in covers.gathered(folder, covers.downloaded_covers(spark, candidates, fetch)).collect()}
+    assert found["slow"].issues == ["Download timed out: 10 s"] and found["gone"].issues == ["Download failed: 404"] and not found["gone"].is_valid
+    assert found["good"].issues == ["Corrupt or unreadable image"] and found["f.jpg"].is_valid and len(found) == 4

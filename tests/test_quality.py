@@ -105,7 +105,7 @@ def test_profile(spark, tmp_path):
     write(_day(2, None, None))
     write(_day(3, "2020-02-30", " ", "1200-01-01 00:00:00+00:00", "2020-01-01", None) + _day(None, "x"))
     chunks = chunk_histograms(spark, {"t": path}, {"t": ["value"]}).groupBy("how").agg(F.sum("n").alias("n")).collect()
-    assert {c.how: c.n for c in chunks} == {"footer": 4, "scan": 6}
+    assert {c.how: c.n for c in chunks} == {"footer": 4, "file": 6}
     h = load_histogram(spark, {"t": path}, {"t": ["value"]})
     assert {(r.load_id, r.value): r.n for r in h.collect()}[1, "2020-01-01"] == 2
     got = {(r.load_id, r.metric): round(r.value, 3) for r in load_metrics(h).collect()}
@@ -181,3 +181,26 @@ def test_profile_of_awkward_tables(spark, tmp_path):
     assert got["a", "id"] == (500, 0, 500, "0", "499") and got["a", "tbl"] == (500, 100, 7, "t0", "t6") and got["a", "col"] == (500, 0, 2, "false", "true") and ("a", "xs") not in got
     assert got["a", "at"][:3] == (500, 0, 9) and int(got["a", "at"][4]) - int(got["a", "at"][3]) == (micros[1] - micros[0]) * 1_000_000
     assert all(v == (0, 0, 0, None, None) for (t, _), v in got.items() if t == "n")
+
+
+def test_histogram_is_the_same_whatever_settles_a_chunk(spark, tmp_path):
+    """Settled, mixed and whole files of all types against a plain count."""
+    rows = [(1, "a", D(2025, 1, 1), D(2025, 1, 1).date(), True, 0.5)] * 30 + [(1 + i % 3, "ab"[i % 2], D(2025, 1, 1 + i % 2, 0, 0, 0, i % 3), D(2025, 1, 1 + i % 2).date(), i % 2 == 0, float(i % 4)) for i in range(60)]
+    df = spark.createDataFrame(rows, "load_id bigint, s string, t timestamp_ntz, d date, b boolean, r double")
+    path = tmp_path / "t.parquet"
+    df.limit(30).coalesce(1).write.parquet(str(path))
+    df.filter("load_id > 1").coalesce(1).write.mode("append").parquet(str(path))
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    part = df.coalesce(1).toPandas()
+    schema = pa.schema([("load_id", pa.int64()), ("s", pa.string()), ("t", pa.timestamp("us")), ("d", pa.date32()), ("b", pa.bool_()), ("r", pa.float64())])
+    pq.write_table(pa.Table.from_pandas(part, schema, preserve_index=False), path / "mixed.parquet", row_group_size=30)
+    names = ["s", "t", "d", "b", "r"]
+    found = chunk_histograms(spark, {"t": str(path)}, {"t": names})
+    assert {r.how for r in found.select("how").distinct().collect()} == {"footer", "scan", "file"}
+    got = {(r.col, r.load_id, r.value): r.n for r in load_histogram(spark, {"t": str(path)}, {"t": names}).collect()}
+    every = spark.read.parquet(str(path))
+    number = {"t": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', t)", "d": "unix_date(d)"}
+    want = {(c, r.load_id, r.value): r.n for c in names for r in every.groupBy("load_id", F.expr(number.get(c, c)).cast("string").alias("value")).agg(F.count("*").alias("n")).collect()}
+    assert got == want
