@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookwarp.llm import components, fusion, leakage, lookalike, matching, names, packing, subjects
-from bookwarp.stage import table
+from bookwarp.stage import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked_authors(table(spark, sf_dir, "authors"), table(spark, sf_dir, "author_duplicate_groups"))
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every author id, named by its smallest id, and how sure its name's form is to stand for one only."""
+    found = cut(names.name_groups(table(spark, sf_dir, "authors"), table(spark, sf_dir, "author_duplicate_groups")))
+    first = found.groupBy("person").agg(F.min("id").alias("group_id"))
+    return found.join(first, "person").select(F.col("id").alias("author_id"), "group_id", F.round("score", 6).alias("score"))
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document or piece for each capacity."""
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_targets"))
@@ -76,7 +83,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assign(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "document_subjects"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_voted": p2_voted, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p5_groups": p5_groups, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 
 
 
