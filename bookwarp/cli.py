@@ -6,6 +6,7 @@ import argparse
 import sys
 from pathlib import Path
 
+from bookwarp.log import log_to
 from bookwarp.operators import assemble as A
 from bookwarp.operators import covers, duplicates, score, search, statistics
 from bookwarp.operators.inspect import dashboard
@@ -22,6 +23,7 @@ from bookwarp.stage import cut
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="bookwarp", description="Quality analytics of a book catalogue")
     top.add_argument("--database", required=True, help="SQLite file of the catalogue")
+    top.add_argument("--log", metavar="FOLDER", help="note commands and their outcome in a log here")
     sub = top.add_subparsers(dest="command")
     add = lambda name, **kw: sub.add_parser(name, **kw)
     add("preview", help="a few books and their counts").add_argument("--limit", type=int, default=20)
@@ -122,6 +124,20 @@ def _covers(args, spark, books, say) -> int:
 
 def main(argv: list[str] | None = None, spark=None, out=sys.stdout) -> int:
     args = parser().parse_args(argv)
+    if not args.log:
+        return run(args, spark, out)
+    logger = log_to(args.log)
+    logger.info("%s on %s", args.command or "preview", args.database)
+    try:
+        code = run(args, spark, out)
+    except Exception:
+        logger.exception("failed")
+        raise
+    logger.info("ended with %d", code)
+    return code
+
+
+def run(args: argparse.Namespace, spark=None, out=sys.stdout) -> int:
     spark = spark or local_session()
     say = lambda *x: print(*x, file=out)
     catalogue = read_catalogue(spark, args.database)

@@ -11,25 +11,43 @@ from bookwarp.operators.score import score
 UNKNOWN_YEAR = "0101"
 
 
-def _if(condition: Column) -> Column:
-    return F.count_if(condition).cast("bigint")
+def _tally(books: DataFrame, *tags: Column) -> DataFrame:
+    """(kind, label, n): sums of the (kind, label, n) that arrays of each book give, combined before the only shuffle."""
+    every = F.concat(*tags) if len(tags) > 1 else tags[0]
+    return books.select(F.explode(every).alias("_t")).groupBy("_t.kind", "_t.label").agg(F.sum("_t.n").alias("n"))
+
+
+def _tag(kind: str, label, n=1) -> Column:
+    number = n if isinstance(n, Column) else F.lit(n)
+    return F.struct(F.lit(kind).alias("kind"), (label if isinstance(label, Column) else F.lit(label)).cast("string").alias("label"), number.cast("bigint").alias("n"))
+
+
+def _tagged(kind: str):
+    return lambda x: _tag(kind, x)
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<kind:string,label:string,n:bigint>>")
 
 
 def summary(books: DataFrame) -> DataFrame:
-    """(metric, value): library-wide counts in one pass, with the distinct counts joined as single rows."""
-    one = books.agg(
-        F.count("*").alias("total_books"), F.coalesce(F.bround(F.avg(score())), F.lit(0)).cast("bigint").alias("average_metadata_score"), _if(F.col("isbn") == "").alias("missing_isbn"), _if(F.col("comments") == "").alias("missing_description"),
-        _if(~F.col("has_cover")).alias("missing_cover"), _if(F.col("publisher") == "").alias("missing_publisher"), _if(F.size("languages") == 0).alias("missing_language"), _if(F.col("series").isNull()).alias("missing_series"),
+    """(metric, value): library-wide counts; one pass, in which a book gives its flags and its names, and one shuffle of the
+    different names."""
+    flags = {
+        "total_books": F.lit(1), "score": score(), "missing_isbn": F.col("isbn") == "", "missing_description": F.col("comments") == "", "missing_cover": ~F.col("has_cover"),
+        "missing_publisher": F.col("publisher") == "", "missing_language": F.size("languages") == 0, "missing_series": F.col("series").isNull(),
+    }
+    own = F.array(*[_tag("", name, F.coalesce(value.cast("bigint"), F.lit(0))) for name, value in flags.items()])
+    named = {"unique_authors": F.transform("authors", lambda a: a["name"]), "unique_series": F.array(F.col("series.name")), "unique_formats": F.col("formats")}
+    names = [F.transform(F.array_distinct(F.array_compact(values)), _tagged(k)) for k, values in named.items()]
+    counted = _tally(books, own, *names)
+    total = lambda name: F.coalesce(F.sum(F.when((F.col("kind") == "") & (F.col("label") == name), F.col("n"))), F.lit(0))
+    one = counted.agg(
+        *[total(name).alias(name) for name in flags if name != "score"], *[F.count_if(F.col("kind") == k).alias(k) for k in named],
+        F.coalesce(F.bround(total("score") / F.nullif(total("total_books"), F.lit(0))), F.lit(0)).alias("average_metadata_score"),
     )
-    counted = {
-        "unique_authors": books.select(F.explode("authors").alias("a")).select(F.col("a.name").alias("x")),
-        "unique_series": books.select(F.col("series.name").alias("x")),
-        "unique_formats": books.select(F.explode("formats").alias("x")),
-    }
-    for name, values in counted.items():
-        one = one.crossJoin(F.broadcast(values.distinct().agg(F.count("x").alias(name))))  # single rows
-    names = ["total_books", "unique_authors", "unique_series", "unique_formats", "average_metadata_score", "missing_isbn", "missing_description", "missing_cover", "missing_publisher", "missing_language", "missing_series"]
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("bigint").alias("value")) for n in names]))
+    order = ["total_books", "unique_authors", "unique_series", "unique_formats", "average_metadata_score", "missing_isbn", "missing_description", "missing_cover", "missing_publisher", "missing_language", "missing_series"]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("bigint").alias("value")) for n in order]))
     return one.select(rows.alias("r")).select("r.metric", "r.value")
 
 
@@ -71,11 +89,16 @@ def smallest_books(books: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def statistics_long(books: DataFrame) -> DataFrame:
-    """(category, label, value) for all breakdowns."""
-    parts = {"books_per_author": books_per_author(books), "books_per_series": books_per_series(books), "books_per_language": books_per_language(books), "books_per_year": books_per_year(books)}
-    rows = [p.select(F.lit(k).alias("category"), "label", F.col("n").alias("value")) for k, p in parts.items()]
-    rows += [p.select(F.lit(k).alias("category"), F.col("title").alias("label"), F.col("size").alias("value")) for k, p in (("largest_books", largest_books(books)), ("smallest_books", smallest_books(books)))]
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
+    """(category, label, value) for all breakdowns; those by name share one pass and one shuffle."""
+    year = F.regexp_extract("pubdate", "^([0-9]{4})", 1)
+    counted = _tally(
+        books,
+        F.transform("authors", lambda a: _tag("books_per_author", a["name"])),
+        F.when(F.col("series").isNotNull(), F.array(_tag("books_per_series", F.col("series.name")))).otherwise(_none()),
+        F.transform("languages", lambda x: _tag("books_per_language", x)),
+        F.when(~F.coalesce(year, F.lit("")).isin("", UNKNOWN_YEAR), F.array(_tag("books_per_year", year))).otherwise(_none()),
+    )
+    out = counted.select(F.col("kind").alias("category"), "label", F.col("n").alias("value"))
+    for k, p in (("largest_books", largest_books(books)), ("smallest_books", smallest_books(books))):
+        out = out.unionByName(p.select(F.lit(k).alias("category"), F.col("title").alias("label"), F.col("size").alias("value")))
     return out

@@ -326,3 +326,14 @@ def test_latest_fields(spark):
     assert sorted(tuple(r) for r in latest(rows, "id", "at", "a").collect()) == [(1, 2, "new"), (2, None, "only")]
     plan = latest_fields(rows, "id", "at", "a", "b").select("id", "a")._jdf.queryExecution().optimizedPlan().toString()
     assert "b#" not in plan.split("LogicalRDD")[0]
+
+
+def test_log(spark, database, tmp_path):
+    import io
+
+    from bookwarp import cli
+
+    for _ in range(2):
+        assert cli.main(["--database", str(database), "--log", str(tmp_path / "log"), "preview", "--limit", "1"], spark, io.StringIO()) == 0
+    lines = (tmp_path / "log" / "library.log").read_text().splitlines()
+    assert len(lines) == 4 and lines[0].endswith(f"INFO preview on {database}") and lines[1].endswith("INFO ended with 0")
