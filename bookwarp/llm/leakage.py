@@ -35,6 +35,8 @@ STEPS = 2 * WINDOW  # the walk is over after as many steps on average; later one
 KNOWN = 9
 #: Items that a pass over the documents takes.
 BLOCK = 20_000
+#: Documents whose windows are hashed together.
+TOGETHER = 200
 SEED = 20_250_101
 SENTENCE = re.compile(r"(?<=[.:?!])\s+")
 
@@ -110,18 +112,23 @@ class Index:
                 at = np.minimum(at + bits[step, word], WINDOW)
             yield key
 
-    def candidates(self, code: np.ndarray) -> dict[int, list[int]]:
-        """Passages met by windows of a coded document, with the windows' places."""
-        if not self.tables or len(code) < KNOWN:
-            return {}
-        known = np.concatenate([[0], np.cumsum(code != self.unknown)])
+    def _near(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, windows) of a coded document's windows with enough passage words."""
         if len(code) < WINDOW:
             code = np.concatenate([code, np.full(WINDOW - len(code), self.unknown, dtype=code.dtype)])
-            known = np.concatenate([[0], np.cumsum(code != self.unknown)])
+        known = np.concatenate([[0], np.cumsum(code != self.unknown)])
         at = np.flatnonzero(known[WINDOW:] - known[:-WINDOW] >= KNOWN)
-        if not len(at):
-            return {}
-        windows = np.lib.stride_tricks.sliding_window_view(code, WINDOW)[at]
+        return at, np.lib.stride_tricks.sliding_window_view(code, WINDOW)[at]
+
+    def candidates(self, codes: list[np.ndarray]) -> list[dict[int, list[int]]]:
+        """For each coded document the passages met by its windows, with the windows' places."""
+        out: list[dict[int, list[int]]] = [{} for _ in codes]
+        near = [(d, *self._near(code)) for d, code in enumerate(codes) if len(code) >= KNOWN] if self.tables else []
+        near = [(d, at, w) for d, at, w in near if len(at)]
+        if not near:
+            return out
+        document = np.repeat([d for d, _, _ in near], [len(at) for _, at, _ in near])
+        at, windows = np.concatenate([a for _, a, _ in near]), np.concatenate([w for _, _, w in near])
         met = []
         for (keys, owner), mine in zip(self.tables, self.keys(windows), strict=True):
             low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
@@ -131,13 +138,12 @@ class Index:
                 within = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
                 met.append(np.unique(x * len(self.passages) + owner[low[x] + within]))
         if not met:
-            return {}
+            return out
         x, k = np.divmod(np.unique(np.concatenate(met)), len(self.passages))
-        near = self.member[k[:, None], windows[x]].sum(axis=1) >= KNOWN  # within reach of this very passage
-        out: dict[int, list[int]] = {}
-        for a, b in zip(k[near].tolist(), at[x[near]].tolist(), strict=True):
-            out.setdefault(a, []).append(b)
-        return {a: sorted(b) for a, b in out.items()}
+        reach = self.member[k[:, None], windows[x]].sum(axis=1) >= KNOWN  # within reach of this very passage
+        for d, a, b in zip(document[x[reach]].tolist(), k[reach].tolist(), at[x[reach]].tolist(), strict=True):
+            out[d].setdefault(a, []).append(b)
+        return [{a: sorted(b) for a, b in o.items()} for o in out]
 
     def verify(self, code: np.ndarray, k: int, places: list[int]) -> bool:
         """Whether the document has a stretch of the passage near one of the places."""
@@ -154,11 +160,14 @@ class Index:
                 end = p
         return begin is not None and stretch(passage, code[max(0, begin - len(passage)) : end + WINDOW + len(passage)])
 
-    def leaks(self, text: str) -> list[int]:
+    def leaks(self, texts: list[str]) -> list[list[int]]:
+        """For each text the passages of which it contains a stretch."""
         get, unknown = self.ids.get, self.unknown
-        listed = words(text)
-        code = np.fromiter((get(w, unknown) for w in listed), dtype=np.int32, count=len(listed))
-        return [k for k, places in self.candidates(code).items() if self.verify(code, k, places)]
+        codes = []
+        for text in texts:
+            listed = words(text)
+            codes.append(np.array([get(w, unknown) for w in listed], dtype=np.int32))
+        return [[k for k, places in found.items() if self.verify(code, k, places)] for code, found in zip(codes, self.candidates(codes), strict=True)]
 
 
 def stretch(passage: np.ndarray, region: np.ndarray, window: int = WINDOW, changed: int = CHANGED) -> bool:
@@ -167,19 +176,23 @@ def stretch(passage: np.ndarray, region: np.ndarray, window: int = WINDOW, chang
     n, m = len(passage), len(region)
     if n < window or m < window - window // changed:
         return False
-    starts = n - window + 1
     big = 1 << 12
+    most = n // changed  # what the longest stretch may cost; a start that costs more is given up
     equal = passage[:, None] == region[None, :]
     offset = np.arange(m, dtype=np.int32)
-    cost = np.where(equal[:starts], 0, big).astype(np.int32)  # first word unchanged
+    begin = np.flatnonzero(equal[: n - window + 1].any(axis=1))  # first word unchanged
+    cost = np.where(equal[begin], 0, big).astype(np.int32)
     cost = np.minimum.accumulate(cost - offset, axis=1) + offset  # words added right after it
     for length in range(2, n + 1):
-        live = min(starts, n - length + 1)
-        row = equal[length - 1 : length - 1 + live]
-        before = cost[:live]
-        diagonal = np.full((live, m), big, dtype=np.int32)
-        diagonal[:, 1:] = before[:, :-1]
-        replaced = np.minimum(diagonal + ~row, before + 1)
+        live = (begin <= n - length) & (cost.min(axis=1) <= most)
+        if not live.all():
+            begin, cost = begin[live], cost[live]
+        if not len(begin):
+            return False
+        row = equal[begin + (length - 1)]
+        diagonal = np.full(row.shape, big, dtype=np.int32)
+        diagonal[:, 1:] = cost[:, :-1]
+        replaced = np.minimum(diagonal + ~row, cost + 1)
         if length >= window and (np.where(row, diagonal, big) <= length // changed).any():
             return True
         cost = np.minimum.accumulate(replaced - offset, axis=1) + offset  # words added
@@ -232,8 +245,10 @@ def leaks(documents: DataFrame, items: DataFrame, repeats: int = REPEATS, block:
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index, owners = shared.value
             for batch in batches:
-                found = [(d, i) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for k in index.leaks(t) for i in owners[k]]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id"], dtype="int64")
+                for low in range(0, len(batch), TOGETHER):
+                    part = batch.iloc[low : low + TOGETHER]
+                    found = [(d, i) for d, ks in zip(part["doc_id"], index.leaks(part["text"].tolist()), strict=True) for k in ks for i in owners[k]]
+                    yield pd.DataFrame(found, columns=["doc_id", "item_id"], dtype="int64")
 
         result = docs.mapInPandas(find, "doc_id bigint, item_id bigint")
         out = result if out is None else out.unionByName(result)

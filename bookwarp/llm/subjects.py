@@ -60,7 +60,8 @@ def sentences(text: str) -> list[list[str]]:
 
 def language(found: list[list[str]]) -> int:
     """Index of the language with most frequent words in the text."""
-    return int(np.argmax([sum(w in stop for s in found for w in s) for stop in LANGUAGES.values()]))
+    every = [w for s in found for w in s]
+    return int(np.argmax([sum(map(stop.__contains__, every)) for stop in LANGUAGES.values()]))
 
 
 def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
