@@ -24,12 +24,19 @@ from bookwarp.stage import cut
 
 #: Stripping goes on while it removes at least this share of the edges; else chains are compressed.
 STRIP_SHARE = 0.5
+#: Rounds after which the driver collects garbage: what earlier rounds left in memory, checkpoints and shuffle files goes
+#: only when their last reference is collected, and the driver has no other reason to do so between many small jobs.
+COLLECT = 6
+_ROUNDS = [0]
 
 
 def _cut(df: DataFrame, **counts: str) -> tuple[DataFrame, dict[str, int]]:
     """Materialises and counts the rows that fulfil each condition on the way."""
     seen = Observation()
     done = cut(df.observe(seen, *[F.count(F.when(F.expr(c), 1)).alias(k) for k, c in counts.items()]))
+    _ROUNDS[0] += 1
+    if _ROUNDS[0] % COLLECT == 0:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return done, seen.get
 
 
