@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from hashlib import blake2b
 
 import pandas as pd
@@ -22,6 +23,8 @@ from bookwarp.functions.text import listed, name_signature, strip, text, without
 from bookwarp.stage import cut
 
 THRESHOLD = 0.95
+#: Rounds after which the driver collects garbage: only then do plans, compiled code and checkpoints of earlier ones go.
+COLLECT = 3
 
 
 def isbn_groups(books: DataFrame) -> DataFrame:
@@ -41,10 +44,18 @@ def _echoes_author() -> Column:
     return (F.size("authors") > 0) & ((mine == name_signature(first["name"])) | (mine == name_signature(first["sort"])))
 
 
+def _titled(books: DataFrame) -> DataFrame:
+    """(id, block, title): books whose title isn't just their author."""
+    return books.filter(~_echoes_author()).select("id", author_block().alias("block"), F.lower(strip("title")).alias("title"))
+
+
+def _classes(titled: DataFrame) -> DataFrame:
+    return titled.groupBy("block", "title").agg(F.min("id").alias("first_id"))
+
+
 def title_classes(books: DataFrame) -> DataFrame:
     """(block, title, first_id): different titles of each first author, without those that only echo the author."""
-    kept = books.filter(~_echoes_author()).select("id", author_block().alias("block"), F.lower(strip("title")).alias("title"))
-    return kept.groupBy("block", "title").agg(F.min("id").alias("first_id"))
+    return _classes(_titled(books))
 
 
 def number_only_pairs(books: DataFrame) -> DataFrame:
@@ -54,6 +65,7 @@ def number_only_pairs(books: DataFrame) -> DataFrame:
     return a.join(b, ["block", "rest"]).filter("a < b").select("a", "b")
 
 
+@lru_cache(4096)
 def unmatched(length: int, other: int, threshold: float) -> int:
     """The most characters of both texts together that may be unmatched at the threshold."""
     total = length + other
@@ -63,43 +75,75 @@ def unmatched(length: int, other: int, threshold: float) -> int:
     return allowed
 
 
-def _parts(title: str, pieces: int) -> list[tuple[int, str]]:
-    """(place, text) of each of so many parts of nearly equal length."""
-    size, extra = divmod(len(title), pieces)
+@lru_cache(4096)
+def _spans(length: int, pieces: int) -> list[tuple[int, int]]:
+    """(begin, end) of each of so many parts of nearly equal length."""
+    size, extra = divmod(length, pieces)
     out, at = [], 0
     for i in range(pieces):
         n = size + (i >= pieces - extra)
-        out.append((at, title[at : at + n]))
+        out.append((at, at + n))
         at += n
     return out
 
 
-def _keys(threshold: float):
-    """(key, first_id, indexed): hashes of a block, a length and a part of a title at a place; no texts leave the task."""
+@lru_cache(512)
+def _places(n: int, longer: int, threshold: float) -> tuple[int, list[tuple[int, int, int]]]:
+    """(most, places): the most unmatched characters of texts of these lengths, and (part, begin, end) in the shorter one
+    of all parts of the longer one that may be there.
+
+    The number of unmatched characters has the parity of the gap.  Each falls into one part, and of the first part with
+    no more of them up to its end than its number, all are before it, exactly as many as its number: the part stands in
+    the shorter text as it is, moved by as much as so many insertions and deletions can move it, and those that are left
+    must make up for the rest of the gap.
+    """
+    gap, most = longer - n, unmatched(longer, n, threshold)
+    most -= (most - gap) % 2
+    places = []
+    for i, (begin, end) in enumerate(_spans(longer, unmatched(longer, longer, threshold) + 1)[: most + 1]):
+        for shift in range(-i, i + 1, 2):
+            if abs(gap + shift) <= most - i and begin + shift >= 0 and end + shift <= n:
+                places.append((i, begin + shift, end + shift))
+    return most, places
+
+
+def _signature(title: str) -> int:
+    """One bit for each of 63 sets of characters: whether their number is odd.  A character more or less changes one."""
+    bits = 0
+    for c in title:
+        bits ^= 1 << ord(c) % 63
+    return bits
 
-    def hashed(*parts) -> int:
-        return int.from_bytes(blake2b("\0".join(map(str, parts)).encode(), digest_size=8).digest(), "little", signed=True)
+
+#: Rows of keys that a task holds at once.
+KEYS = 100_000
+
+
+def _keys(threshold: float, indexed: bool):
+    """(key, id, signature, most): hashes of a block, a length and a part of a title; no texts leave the task.
+
+    Of two texts, the longer one is cut into parts (``indexed``) and the shorter one looks for them.
+    """
+
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", "id", "signature", "most"]).astype({"key": "int64", "most": "int32"})
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = set()
-            for block, title, first in zip(batch["block"], batch["title"], batch["first_id"], strict=True):
-                n = len(title)
-                most = unmatched(n, n, threshold)
-                # of two texts, the longer one is cut into parts and the shorter one looks for them
-                for i, (_, part) in enumerate(_parts(title, most + 1)):
-                    rows.add((hashed(block, n, i, part), first, True))
-                longer = n
-                while unmatched(n, longer, threshold) >= longer - n:
-                    pieces = unmatched(longer, longer, threshold)
-                    gap = longer - n
-                    for i, (at, part) in enumerate(_parts("x" * longer, pieces + 1)):
-                        for shift in range(-min(pieces, i + gap), min(pieces, i) + 1):
-                            begin = at + shift
-                            if begin >= 0 and begin + len(part) <= n:
-                                rows.add((hashed(block, longer, i, title[begin : begin + len(part)]), first, False))
-                    longer += 1
-            yield pd.DataFrame(list(rows), columns=["key", "first_id", "indexed"]).astype({"key": "int64", "indexed": "bool"})
+            rows = []
+            for block, title, first, longer in zip(batch["block"], batch["title"], batch["first_id"], batch["longer"], strict=True):
+                if indexed:
+                    most, places = 0, [(i, begin, end) for i, (begin, end) in enumerate(_spans(longer, unmatched(longer, longer, threshold) + 1))]
+                else:
+                    most, places = _places(len(title), longer, threshold)
+                own, bits = f"{block}\0{longer}\0".encode(), _signature(title)
+                for i, begin, end in places:
+                    hashed = blake2b(own + f"{i}\0{title[begin:end]}".encode(), digest_size=8).digest()
+                    rows.append((int.from_bytes(hashed, "little", signed=True), first, bits, most))
+                if len(rows) > KEYS:
+                    yield framed(rows)
+                    rows = []
+            yield framed(rows)
 
     return keys
 
@@ -116,14 +160,25 @@ def _close(threshold: float):
     return close
 
 
-def close_titles(books: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): title classes (by first id, a < b) of one first author whose likeness reaches the threshold."""
-    classes = cut(title_classes(books))
-    keys = cut(classes.mapInPandas(_keys(threshold), "key bigint, first_id bigint, indexed boolean"))
-    left = keys.filter("indexed").select("key", F.col("first_id").alias("x"))
-    right = keys.filter("not indexed").select("key", F.col("first_id").alias("y"))
-    ids = left.join(right, "key").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    # texts join the pairs of ids when these are few
+def close_titles(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): title classes (by first id, a < b) of one first author whose likeness reaches the threshold.
+
+    Titles look only for lengths that other titles of the author have.  Those that meet are left out at once if their
+    characters differ by too many, so that texts are joined to few pairs.
+    """
+    known = classes.withColumn("longer", F.length("title"))
+    counted = known.groupBy("block", "longer").agg(F.count("*").alias("n"))
+    lengths = counted.groupBy("block").agg(F.collect_list(F.struct("longer", "n")).alias("lengths"))  # as many as lengths
+    # a length too many at most: there are no places in it
+    greatest = F.floor(F.length("title") * ((2 - threshold) / threshold)) + 1
+    near = lambda x: (x["longer"] >= F.length("title")) & (x["longer"] <= greatest) & ((x["n"] > 1) | (x["longer"] > F.length("title")))
+    fields = ("block", "title", "first_id", "longer")
+    wanted = classes.join(lengths, "block").withColumn("l", F.explode(F.filter("lengths", near))).select("block", "title", "first_id", F.col("l.longer").alias("longer"))
+    shape = "key bigint, id bigint, signature bigint, most int"
+    left = known.select(*fields).mapInPandas(_keys(threshold, True), shape).select("key", F.col("id").alias("x"), F.col("signature").alias("x_signature"))
+    right = wanted.select(*fields).mapInPandas(_keys(threshold, False), shape).withColumnRenamed("id", "y")
+    ids = left.join(right, "key").filter("x <> y and bit_count(x_signature ^ signature) <= most")
+    ids = ids.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     texts = classes.select("first_id", "title", "block")
     pairs = ids.join(texts.toDF("a", "a_title", "a_block"), "a").join(texts.toDF("b", "b_title", "b_block"), "b").filter("a_block = b_block")
     pairs = pairs.filter(without_digits("a_title") != without_digits("b_title"))
@@ -139,7 +194,11 @@ def leaders(pairs: DataFrame) -> DataFrame:
     """
     open_pairs = cut(pairs.distinct())
     decided = None
+    rounds = 0
     while not open_pairs.isEmpty():
+        rounds += 1
+        if rounds % COLLECT == 0:
+            pairs.sparkSession.sparkContext._jvm.System.gc()
         # firsts wait for nobody: they lead, and all their later neighbours follow the smallest of them
         waiting = open_pairs.select(F.col("b").alias("a")).distinct()
         firsts = cut(open_pairs.join(waiting, "a", "left_anti"))
@@ -160,18 +219,17 @@ def leaders(pairs: DataFrame) -> DataFrame:
 
 def title_groups(books: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(reason, book_ids) of nearly equal titles of one first author; ids in ascending order."""
-    follow = leaders(close_titles(books, threshold))
-    classes = title_classes(books)
+    titled = cut(_titled(books))
+    classes = cut(_classes(titled))
+    follow = leaders(close_titles(classes, threshold))
     led = classes.join(follow.withColumnRenamed("id", "first_id"), "first_id", "left").withColumn("leader", F.coalesce("leader", "first_id"))
-    members = books.filter(~_echoes_author()).select("id", author_block().alias("block"), F.lower(strip("title")).alias("title")).join(led, ["block", "title"])
-    grouped = members.groupBy("leader").agg(F.array_sort(F.collect_list("id")).alias("book_ids")).filter(F.size("book_ids") > 1)
+    grouped = titled.join(led, ["block", "title"]).groupBy("leader").agg(F.array_sort(F.collect_list("id")).alias("book_ids")).filter(F.size("book_ids") > 1)
     return grouped.select(F.lit("similar title, same author").alias("reason"), "book_ids")
 
 
 def equal_title_groups(books: DataFrame) -> DataFrame:
     """(reason, book_ids) for titles that are equal but for case and white space at the ends."""
-    kept = books.filter(~_echoes_author()).select("id", author_block().alias("block"), F.lower(strip("title")).alias("title"))
-    grouped = kept.groupBy("block", "title").agg(F.array_sort(F.collect_list("id")).alias("book_ids")).filter(F.size("book_ids") > 1)
+    grouped = _titled(books).groupBy("block", "title").agg(F.array_sort(F.collect_list("id")).alias("book_ids")).filter(F.size("book_ids") > 1)
     return grouped.select(F.lit("similar title, same author").alias("reason"), "book_ids")
 
 

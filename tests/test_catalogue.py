@@ -137,6 +137,33 @@ def test_title_groups_equal_a_pass_over_the_list(spark):
         assert got == brute_titles(titles, threshold)
 
 
+def test_title_keys_are_few_and_lose_no_pair():
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(7)
+    meets = 0
+    for _ in range(4000):
+        t = rng.choice((0.95, 0.9, 0.8))
+        a = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 45)))
+        b = list(a)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", *"abcd"])
+        short, long = sorted((a, "".join(b)), key=len)
+        if max(SequenceMatcher(None, short, long).ratio(), SequenceMatcher(None, long, short).ratio()) < t:
+            continue
+        frame = lambda title: iter([pd.DataFrame({"block": ["x"], "title": [title], "first_id": [1], "longer": [len(long)]})])
+        cut_up, sought = (pd.concat(duplicates._keys(t, indexed)(frame(x))) for x, indexed in ((long, True), (short, False)))
+        both = cut_up.merge(sought, on="key")
+        assert any((p ^ q).bit_count() <= m for p, q, m in zip(both["signature_x"], both["signature_y"], both["most_y"], strict=True)), (short, long, t)
+        meets += 1
+    assert meets > 1000
+    # a title of 30 characters looks for others of 30 to 33
+    assert sum(len(duplicates._places(30, n, 0.95)[1]) for n in range(30, 34)) <= 20
+
+
 def test_authors_and_merge(spark):
     authors = spark.createDataFrame([(1, "Stephen King"), (5, "King, Stephen"), (9, "King Stephen"), (10, "Jim Butcher"), (3, "Butcher, Jim"), (4, " "), (6, None)], "id bigint, name string")
     found = {r.canonical_author_id: r.duplicate_author_ids for r in duplicates.author_groups(authors).collect()}
