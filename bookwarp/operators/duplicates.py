@@ -242,7 +242,9 @@ def author_groups(authors: DataFrame) -> DataFrame:
 
 
 def duplicate_report(books: DataFrame, authors: DataFrame) -> DataFrame:
-    """(type, reason, ids) of all three kinds."""
+    """(type, reason, ids) of all three kinds; the books are evaluated once, with what the groups need of them."""
+    first = F.transform(F.slice("authors", 1, 1), lambda a: F.struct(a["name"].alias("name"), a["sort"].alias("sort")))
+    books = cut(books.select("id", "isbn", "title", first.alias("authors")))
     isbn = isbn_groups(books).select(F.lit("isbn").alias("type"), "reason", listed("book_ids").alias("ids"))
     title = title_groups(books).select(F.lit("title").alias("type"), "reason", listed("book_ids").alias("ids"))
     people = author_groups(authors).select(F.lit("author").alias("type"), F.array_join("names", ", ").alias("reason"), listed(F.concat(F.array("canonical_author_id"), F.col("duplicate_author_ids"))).alias("ids"))

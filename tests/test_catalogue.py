@@ -364,3 +364,18 @@ def test_log(spark, database, tmp_path):
         assert cli.main(["--database", str(database), "--log", str(tmp_path / "log"), "preview", "--limit", "1"], spark, io.StringIO()) == 0
     lines = (tmp_path / "log" / "library.log").read_text().splitlines()
     assert len(lines) == 4 and lines[0].endswith(f"INFO preview on {database}") and lines[1].endswith("INFO ended with 0")
+
+
+ONCE = [{"title": "Doctor Sleep", "author": "A", "isbn": "1", "comments": "\n"}, {"title": "Doctor Sleep ", "author": "A", "isbn": "1", "comments": "Told."}, {"title": "B", "author": "A"}]
+
+
+def stored(spark, path):
+    make(spark, *ONCE).write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_duplicate_report_evaluates_the_books_once(spark, tmp_path):
+    authors = spark.createDataFrame([(1, "A", "A")], "id bigint, name string, sort string")
+    report = duplicates.duplicate_report(stored(spark, tmp_path / "books"), authors)
+    assert "FileScan" not in report._jdf.queryExecution().toString()  # the books come from one checkpoint
+    assert sorted((r.type, r.ids) for r in report.collect()) == [("isbn", "[1, 2]"), ("title", "[1, 2]")]
