@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bookwarp.functions.text import strip
 from bookwarp.operators.duplicates import isbn_groups, title_groups
 from bookwarp.operators.score import analysis, scored
 from bookwarp.operators.series import series_issues
 from bookwarp.operators.statistics import summary
+from bookwarp.stage import cut
 
 
 def inspection(books: DataFrame) -> dict[str, DataFrame]:
@@ -17,7 +19,10 @@ def inspection(books: DataFrame) -> dict[str, DataFrame]:
 
 
 def dashboard(books: DataFrame) -> DataFrame:
-    """(label, value) of the tiles."""
+    """(label, value) of the tiles; the books are evaluated once, of a description only whether there is one."""
+    told = F.when(strip("comments") == "", F.col("comments")).otherwise(F.lit("-"))
+    kept = ("id", "title", "authors", "series", "series_index", "publisher", "isbn", "languages", "formats", "has_cover")
+    books = cut(books.select(*kept, told.alias("comments")))
     # Labels by metric.
     labels = {"total_books": "Total books", "unique_authors": "Unique authors", "unique_series": "Unique series", "average_metadata_score": "Average health score", "missing_isbn": "Missing ISBN", "missing_cover": "Missing cover", "missing_description": "Missing description"}
     named = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])

@@ -379,3 +379,10 @@ def test_duplicate_report_evaluates_the_books_once(spark, tmp_path):
     report = duplicates.duplicate_report(stored(spark, tmp_path / "books"), authors)
     assert "FileScan" not in report._jdf.queryExecution().toString()  # the books come from one checkpoint
     assert sorted((r.type, r.ids) for r in report.collect()) == [("isbn", "[1, 2]"), ("title", "[1, 2]")]
+
+
+def test_dashboard_evaluates_the_books_once(spark, tmp_path):
+    tiles = dashboard(stored(spark, tmp_path / "books"))
+    assert "FileScan" not in tiles._jdf.queryExecution().toString()
+    got = {r.label: r.value for r in tiles.collect()}
+    assert (got["Total books"], got["Missing description"], got["Title duplicate groups"], got["Average health score"]) == (3, 1, 1, 60)
