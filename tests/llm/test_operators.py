@@ -167,6 +167,21 @@ def test_copied_votes_count_less(spark):
     assert right >= 180 and right > majority + 5
 
 
+def test_old_claims_tell_how_good_their_sources_are(spark):
+    """Source 2 contradicted three others in claims that a later one has replaced: it loses where moments are equal."""
+    old, new = D(2025, 1, 1), D(2025, 2, 1)
+    rows = []
+    for g in range(60):
+        for s in range(1, 5):
+            rows.append(("book", g, "title", 10 * g + s, f"f{g}" if s == 2 else "t", s, old, old))
+        rows.append(("book", g, "title", 10 * g + 5, "n", 5, new, new))
+    for g in range(60, 70):  # source 2 arrives later
+        rows += [("book", g, "title", 10 * g + 1, "a", 1, new, old), ("book", g, "title", 10 * g + 2, "b", 2, new, new)]
+    claims = spark.createDataFrame(rows, "grp string, group_id bigint, field string, record_id bigint, value string, source bigint, at timestamp, arrived timestamp")
+    found = {r.group_id: r.value for r in fusion.fuse(claims).collect()}
+    assert found == {g: "n" if g < 60 else "a" for g in range(70)}
+
+
 def test_newest_value_is_the_likeliest(spark):
     """The posterior alone chooses: the newest value however few state it, by votes where moments are equal."""
     rng = random.Random(12)
