@@ -298,6 +298,24 @@ def test_calibration_takes_all_pairs(spark):
     assert matching.calibration(pairs.limit(0))[0][:, 0].tolist() == list(matching.PRIOR)
 
 
+def test_all_records_count_in_the_fit(spark):
+    """Rarities and vectors come from every record; words of one record end nearer to each other than to others."""
+    rng = np.random.default_rng(4)
+    made = lambda: "".join(rng.choice(list("bdfgklmnprstaeiou"), 9))
+    own = [[made() for _ in range(3)] for _ in range(5500)]
+    rows = [(i, f"{a} {b}", [c], []) for i, (a, b, c) in enumerate(own)]
+    fitted = matching.fit_embedding(spark.createDataFrame(rows[:500], matching_shape := "id bigint, title string, authors array<string>, isbns array<string>"), spark.createDataFrame(rows[500:], matching_shape))
+    words = {w for r in own for w in r}
+    having = np.zeros(matching.BUCKETS)
+    for w in words:
+        having[list(set(matching.buckets(w)))] += 1
+    assert fitted.records == 5500 and np.allclose(fitted.rarity, np.log((len(words) + 2) / (having + 1)) ** 2, rtol=1e-4)
+    a, b, c = (fitted.sums([r[k] for r in own]) for k in range(3))
+    assert (a * b).sum(axis=1).mean() - (a * np.roll(c, 7, axis=0)).sum(axis=1).mean() > 0.03
+    none = matching.fit_embedding(spark.createDataFrame([], matching_shape))
+    assert np.isfinite(none.table).all()
+
+
 def test_vectors_are_trained():
     """Tokens of one record end nearer to each other than to those of other records, unlike before training."""
     rng = np.random.default_rng(1)
