@@ -316,6 +316,29 @@ def test_all_records_count_in_the_fit(spark):
     assert np.isfinite(none.table).all()
 
 
+def test_trigrams_are_taken_in_arrays(monkeypatch):
+    """The fit hashes a word at a time, not a trigram at a time, and gives what plain loops give."""
+    rng = np.random.default_rng(4)
+    words = ["", "a", "ab", "дом", "naïve", "a日b", "x" * 300, *("".join(rng.choice(list("abcdefghé9"), rng.integers(1, 12))) for _ in range(300))]
+    flat, begin, size = matching.spread(words)
+    assert [flat[b : b + n].tolist() for b, n in zip(begin, size, strict=True)] == [matching.buckets(w) for w in words]
+    runs = np.array([1, 2, 15, 16, 17, 256, 257, 5000])
+    values, rows = rng.normal(size=(50, 3)), rng.integers(0, 50, runs.sum())
+    assert np.allclose(matching.summed(values, rows, runs), np.add.reduceat(values[rows], np.cumsum(runs) - runs, axis=0))
+    records = [{f"word{i}" for i in rng.integers(0, 40, 3)} for _ in range(200)] + [{"alone"}, set()]
+    basis, sketch = rng.normal(size=(matching.BUCKETS, 4)).astype(np.float32), np.ones(matching.SKETCH)
+    vector = {w: basis[matching.buckets(w)].sum(axis=0) / len(matching.buckets(w)) / np.sqrt(2) for r in records for w in r}
+    want = np.zeros_like(basis)
+    for r in records:
+        for w in r:
+            for b in matching.buckets(w):
+                want[b] += sum(vector[v] for v in r if v != w) / len(matching.buckets(w)) / np.sqrt(2)
+    hashed, plain = [], matching._bucket
+    monkeypatch.setattr(matching, "_bucket", lambda text: hashed.append(text) or plain(text))
+    assert np.allclose(matching.neighbours(records, basis, sketch), want, atol=1e-4) and not want[plain("<alone>")].any()
+    assert len(hashed) <= len(vector)
+
+
 def test_vectors_are_trained():
     """Tokens of one record end nearer to each other than to those of other records, unlike before training."""
     rng = np.random.default_rng(1)
